@@ -75,9 +75,9 @@ def tfidf_vectors(spark, folder):
 
 
 def _lists(spark, folder):
-    questions, docs = _inputs(spark, folder)
+    questions, _ = _inputs(spark, folder)
     idx = written_index(spark, folder)
-    return questions, docs, idx, search.tfidf_topk(questions, idx), search.bm25_topk(questions, idx)
+    return questions, idx, search.tfidf_topk(questions, idx), search.bm25_topk(questions, idx)
 
 
 def rrf_fuse(spark, folder):
@@ -93,18 +93,19 @@ def rrf_dense_only(spark, folder):
 
 
 def rerank_topk(spark, folder):
-    questions, docs, _, vectors, words = _lists(spark, folder)
-    return _ranked(fusion.rerank(fusion.rrf_fuse(vectors, words), questions, docs))
+    questions, idx, vectors, words = _lists(spark, folder)
+    fused = fusion.rrf_fuse(vectors, words)
+    return _ranked(fusion.rerank(fused, fusion.word_overlap(fused, questions, idx)))
 
 
 def rerank_fallback(spark, folder):
-    questions, docs, _, vectors, words = _lists(spark, folder)
-    return _ranked(fusion.rerank(fusion.rrf_fuse(vectors, words), questions, docs, scorer=None))
+    *_, vectors, words = _lists(spark, folder)
+    return _ranked(fusion.rerank(fusion.rrf_fuse(vectors, words), None))
 
 
 def _best(spark, folder):
     questions, docs = _inputs(spark, folder)
-    return questions, docs, fusion.hybrid_retrieve(questions, docs, written_index(spark, folder))
+    return questions, docs, fusion.hybrid_retrieve(questions, written_index(spark, folder))
 
 
 def hybrid_retrieve(spark, folder):
@@ -210,7 +211,7 @@ _FUSED = """, fused_scores AS (
 ), fused AS (
   SELECT q_id, doc_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, first_seen) AS rank FROM fused_scores
 )"""
-_BEST = """, overlaps AS (
+_BEST = """, shared_words AS (
   SELECT f.q_id, f.doc_id, f.rank AS fused_rank,
          round(count(c.term) / count(DISTINCT a.term), 6) AS score
   FROM fused f JOIN asked a ON a.q_id = f.q_id
