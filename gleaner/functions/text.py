@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = "[a-z0-9_]+"
@@ -56,3 +56,10 @@ def token_overlap(question: Column, text: Column) -> Column:
     return F.when(F.size(asked) == 0, F.lit(0.0)).otherwise(
         F.size(F.array_intersect(asked, tokens(text))) / F.size(asked)
     )
+
+
+def unnest(rows: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """One row per array element. From a plain explode the planner derives a filter that
+    the array is not empty, and evaluates a costly array once more below the scan for it;
+    the outer form with a NULL test has the same rows without that."""
+    return rows.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())

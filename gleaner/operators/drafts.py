@@ -22,7 +22,7 @@ from gleaner.functions.fixed import (
     SCHEMA_QUALIFIERS,
     SQL_WORDS,
 )
-from gleaner.functions.text import is_blank, quoted_list
+from gleaner.functions.text import is_blank, quoted_list, unnest
 
 CTE_NAME = r"(?:with|,)\s+(\w+)\s+as\s*\("
 DERIVED_ALIAS = r"\)\s+(?:as\s+)?(\w+)"
@@ -134,12 +134,8 @@ def bound_columns(refs: DataFrame) -> DataFrame:
             F.col("qualified_tables"), F.concat(ref["left"], F.lit("."), ref["right"])
         )
 
-    exploded = refs.select(
-        "draft_id",
-        "from_refs",
-        "local_names",
-        F.explode(F.array_distinct(F.filter("dotted", is_column_ref))).alias("ref"),
-    )
+    column_refs = F.array_distinct(F.filter("dotted", is_column_ref))
+    exploded = unnest(refs, column_refs, "ref", "draft_id", "from_refs", "local_names")
     declared = F.filter(
         "from_refs",
         lambda table: F.when(table["alias"] != "", table["alias"]).otherwise(table["name"]) == F.col("ref.left"),
@@ -157,31 +153,29 @@ def bound_columns(refs: DataFrame) -> DataFrame:
     )
 
 
-def binding_errors(bound: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(draft_id, qualifier, column, table, error): columns their table does not have, and
-    qualifiers that stand for nothing. Tables outside the catalog bind nothing."""
-    known = catalog.select("table").distinct()
-    real = bound.where(~F.col("is_local"))
-    missing = (
-        real.join(known, "table", "left_semi")
-        .join(catalog.select("table", "column"), ["table", "column"], "left_anti")
-        .withColumn("error", F.concat(F.lit("Column binding failed: Unknown column: "), F.col("column")))
-    )
-    lost = real.where(F.col("table").isNull()).withColumn(
-        "error",
-        F.concat(
-            F.lit("Column binding failed: Column '"), F.col("qualifier"), F.lit("."), F.col("column"),
-            F.lit("' could not be resolved"),
-        ),
-    )
-    kept = ["draft_id", "qualifier", "column", "table", "error"]
-    return missing.select(kept).unionByName(lost.select(kept))
-
+def column_findings(bound: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(draft_id, qualifier, column, error, warning) for references that do not hold.
 
-def binding_warnings(bound: DataFrame) -> DataFrame:
-    """References into CTEs and derived tables: neither confirmed nor refuted."""
-    text = F.concat(F.lit("Could not fully validate columns (warning): "), F.col("qualifier"), F.lit("."), F.col("column"))
-    return bound.where("is_local").select("draft_id", "qualifier", "column", text.alias("warning"))
+    Errors: a column its table does not have; a qualifier that stands for nothing.
+    Warnings: references into CTEs and derived tables, neither confirmed nor
+    refuted. Tables outside the catalog bind nothing.
+    """
+    tables = catalog.select("table").distinct().withColumn("is_known", F.lit(True))
+    columns = catalog.select("table", "column").distinct().withColumn("exists", F.lit(True))
+    joined = bound.join(tables, "table", "left").join(columns, ["table", "column"], "left")
+    full_name = F.concat(F.col("qualifier"), F.lit("."), F.col("column"))
+    lost = F.concat(F.lit("Column binding failed: Column '"), full_name, F.lit("' could not be resolved"))
+    missing = F.concat(F.lit("Column binding failed: Unknown column: "), F.col("column"))
+    unsure = F.concat(F.lit("Could not fully validate columns (warning): "), full_name)
+    error = F.when(F.col("table").isNull(), lost).when(F.col("is_known") & F.col("exists").isNull(), missing)
+    found = joined.select(
+        "draft_id",
+        "qualifier",
+        "column",
+        F.when(~F.col("is_local"), error).alias("error"),
+        F.when(F.col("is_local"), unsure).alias("warning"),
+    )
+    return found.where(F.col("error").isNotNull() | F.col("warning").isNotNull())
 
 
 def code_literals(sql: Column, column: str = "status_cd") -> Column:
@@ -250,13 +244,17 @@ def validate(drafts: DataFrame, catalog: DataFrame, domains: Domains, table_enti
             code_literals(F.col("sql")), governed_tables(F.col("from_tables"), table_entity), domains, table_entity
         ).alias("code_errors"),
     )
-    bound = bound_columns(refs)
     # A draft's findings are bounded by its own text.
-    errors = binding_errors(bound, catalog).groupBy("draft_id").agg(F.sort_array(F.collect_set("error")).alias("bind_errors"))
-    warnings = binding_warnings(bound).groupBy("draft_id").agg(F.sort_array(F.collect_set("warning")).alias("bind_warnings"))
+    findings = (
+        column_findings(bound_columns(refs), catalog)
+        .groupBy("draft_id")
+        .agg(
+            F.sort_array(F.collect_set("error")).alias("bind_errors"),
+            F.sort_array(F.collect_set("warning")).alias("bind_warnings"),
+        )
+    )
     none = F.array().cast("array<string>")
-    joined = checked.join(errors, "draft_id", "left").join(warnings, "draft_id", "left")
-    verdict = joined.select(
+    verdict = checked.join(findings, "draft_id", "left").select(
         "draft_id",
         F.when(F.col("stop").isNotNull(), F.array("stop"))
         .otherwise(F.concat(F.coalesce("bind_errors", none), "code_errors"))

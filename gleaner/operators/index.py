@@ -19,8 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import tokens
-from gleaner.session import new_folder
+from gleaner.functions.text import tokens, unnest
+from gleaner.session import new_folder, write_table
 
 BUCKETS = 16
 
@@ -42,9 +42,7 @@ def word_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     carries one row per document and word, not one per word occurrence."""
     words = docs.select(key, tokens(F.col(text)).alias("words"))
     return (
-        # The outer form keeps the planner from tokenizing once more to test for emptiness.
-        words.select(key, F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
-        .where(F.col("term").isNotNull())
+        unnest(words.withColumn("dl", F.size("words")), F.col("words"), "term", key, "dl")
         .groupBy(key, "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
         .select(key, "term", "tf", F.col("dl").cast("long").alias("dl"))
@@ -56,6 +54,13 @@ def doc_lengths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "file_name", F.size(tokens(F.col("text"))).cast("long").alias("dl"))
 
 
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """(term, df) straight from the texts: words are made distinct within each document,
+    so only one count per word and task is shuffled."""
+    words = unnest(docs, F.array_distinct(tokens(F.col("text"))), "term", "doc_id")
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def doc_frequencies(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")
@@ -165,10 +170,10 @@ def read_index(spark: SparkSession, path: str) -> Index:
 
 def tfidf_vectors(docs: DataFrame) -> DataFrame:
     """Sparse unit vectors: one (doc_id, term, weight) row per document and word."""
-    index = plan_index(docs)
-    n_docs = index.corpus.select("n_docs").scalar()
-    return index.postings.join(index.terms.select("term", "df"), "term").select(
-        "doc_id",
-        "term",
-        (F.col("tf") * smooth_idf(F.col("df"), n_docs) / F.col("norm")).alias("weight"),
-    )
+    counts = write_table(word_counts(docs), "counts")
+    n_docs = docs.select(F.count(F.lit(1))).scalar()
+    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.col("tf") * smooth_idf(F.col("df"), n_docs)
+    weights = counts.join(terms, "term").select("doc_id", "term", weight.alias("weight"))
+    norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    return weights.join(norms, "doc_id").select("doc_id", "term", (F.col("weight") / F.col("norm")).alias("weight"))

@@ -18,7 +18,7 @@ from gleaner.functions.fixed import (
     TRICK_SILENT,
     TRICK_WITH_SQL,
 )
-from gleaner.functions.text import contains_any, is_blank, plain_quotes, quoted_list
+from gleaner.functions.text import contains_any, is_blank, plain_quotes, quoted_list, unnest
 from gleaner.operators.drafts import references
 
 
@@ -87,44 +87,51 @@ def coverage_score() -> Column:
     )
 
 
-def _named_per_draft(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("draft_id").agg(F.sort_array(F.collect_set(name)).alias("names"))
+def unknown_names(prepared: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(draft_id, bad_tables, bad_columns) for drafts with any: referenced tables the catalog
+    does not have, and referenced or expected columns that exist on no table.
 
+    Both kinds of names are looked up by one join; only failures are grouped.
+    """
+    none = F.array().cast("array<string>")
+    expected = F.transform(F.coalesce("expected_columns", none), lambda name: F.lower(name))
+    tables = F.filter("tables", lambda name: F.length(name) > 2)
+    columns = F.filter(
+        F.array_union("columns", expected), lambda name: ~name.isin(SQL_WORDS) & ~name.isin(SCHEMA_QUALIFIERS)
+    )
 
-def unknown_tables(prepared: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(draft_id, names): referenced tables that the catalog does not have."""
-    refs = prepared.select("draft_id", F.explode("tables").alias("table")).where(F.length("table") > 2)
-    return _named_per_draft(refs.join(catalog.select("table").distinct(), "table", "left_anti"), "table")
-
+    def tagged(names: Column, kind: str) -> Column:
+        return F.transform(names, lambda name: F.struct(F.lit(kind).alias("kind"), name.alias("name")))
 
-def unknown_columns(prepared: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(draft_id, names): referenced or expected columns that exist on no table."""
-    expected = F.transform(
-        F.coalesce("expected_columns", F.array().cast("array<string>")), lambda name: F.lower(name)
+    names = unnest(prepared, F.concat(tagged(tables, "table"), tagged(columns, "column")), "ref", "draft_id")
+    table_names = catalog.select(F.col("table").alias("name"))
+    known = (
+        table_names.withColumn("kind", F.lit("table"))
+        .unionByName(catalog.select(F.col("column").alias("name")).union(table_names).withColumn("kind", F.lit("column")))
+        .distinct()
     )
-    names = prepared.select("draft_id", F.explode(F.array_union("columns", expected)).alias("column")).where(
-        ~F.col("column").isin(SQL_WORDS) & ~F.col("column").isin(SCHEMA_QUALIFIERS)
+    bad = names.select("draft_id", "ref.kind", "ref.name").join(known, ["kind", "name"], "left_anti")
+    return bad.groupBy("draft_id").agg(
+        *(
+            F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("name")))).alias(f"bad_{kind}s")
+            for kind in ("table", "column")
+        )
     )
-    known = catalog.select("column").union(catalog.select(F.col("table").alias("column"))).distinct()
-    return _named_per_draft(names.join(known, "column", "left_anti"), "column")
 
 
 def score_answers(answers: DataFrame, catalog: DataFrame) -> DataFrame:
     """Adds score and reason to the answers; the first rule that applies decides."""
     prepared = prepare(answers)
-    with_sql = prepared.where(has_sql() & ~is_trick())
-    tables = unknown_tables(with_sql, catalog).withColumnRenamed("names", "bad_tables")
-    columns = unknown_columns(with_sql, catalog).withColumnRenamed("names", "bad_columns")
-    joined = prepared.join(tables, "draft_id", "left").join(columns, "draft_id", "left")
+    joined = prepared.join(unknown_names(prepared, catalog), "draft_id", "left")
     result = (
         F.when(is_trick(), trick_score())
         .when(~has_sql(), prose_score())
         .when(
-            F.col("bad_tables").isNotNull(),
+            F.size("bad_tables") > 0,
             _scored(0.0, F.concat(F.lit("Hallucinated table names: "), F.array_join("bad_tables", ", "))),
         )
         .when(
-            F.col("bad_columns").isNotNull(),
+            F.size("bad_columns") > 0,
             _scored(
                 0.0, F.concat(F.lit("Referenced column(s) exist in no schema table: "), F.array_join("bad_columns", ", "))
             ),

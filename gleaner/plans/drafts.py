@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.functions import fixed
-from gleaner.functions.text import first_fenced_block
+from gleaner.functions.text import first_fenced_block, unnest
 from gleaner.operators import assembly, drafts, scoring
 from gleaner.plans.fixtures import (
     DOMAINS,
@@ -41,19 +41,19 @@ def draft_normalize(spark, folder):
 
 
 def draft_cte_names(spark, folder):
-    return _refs(spark, folder).select("draft_id", F.explode("cte_names").alias("name"))
+    return unnest(_refs(spark, folder), "cte_names", "name", "draft_id")
 
 
 def draft_derived_aliases(spark, folder):
-    return _refs(spark, folder).select("draft_id", F.explode("derived_aliases").alias("name"))
+    return unnest(_refs(spark, folder), "derived_aliases", "name", "draft_id")
 
 
 def draft_table_refs(spark, folder):
-    return _refs(spark, folder).select("draft_id", F.explode("from_tables").alias("table"))
+    return unnest(_refs(spark, folder), "from_tables", "table", "draft_id")
 
 
 def draft_column_refs(spark, folder):
-    return _refs(spark, folder).select("draft_id", F.explode("columns").alias("column"))
+    return unnest(_refs(spark, folder), "columns", "column", "draft_id")
 
 
 def draft_identifiers(spark, folder):
@@ -67,13 +67,17 @@ def draft_dialect(spark, folder):
     return rows.select("draft_id", drafts.dialect_error(F.col("sql")).alias("error")).where(F.col("error").isNotNull())
 
 
+def _findings(spark, folder, kind):
+    found = drafts.column_findings(drafts.bound_columns(_refs(spark, folder)), catalog_rows(spark))
+    return found.where(F.col(kind).isNotNull()).select("draft_id", "qualifier", "column", kind)
+
+
 def draft_binding(spark, folder):
-    bound = drafts.bound_columns(_refs(spark, folder))
-    return drafts.binding_errors(bound, catalog_rows(spark)).select("draft_id", "qualifier", "column", "error")
+    return _findings(spark, folder, "error")
 
 
 def draft_binding_warnings(spark, folder):
-    return drafts.binding_warnings(drafts.bound_columns(_refs(spark, folder)))
+    return _findings(spark, folder, "warning")
 
 
 def draft_code_literals(spark, folder):
@@ -85,14 +89,14 @@ def draft_code_literals(spark, folder):
 
 def draft_governed_tables(spark, folder):
     found = drafts.governed_tables(F.col("from_tables"), TABLE_ENTITY)
-    return _refs(spark, folder).select("draft_id", F.explode(found).alias("table"))
+    return unnest(_refs(spark, folder), found, "table", "draft_id")
 
 
 def draft_domain_check(spark, folder):
     refs = _refs(spark, folder)
     governed = drafts.governed_tables(F.col("from_tables"), TABLE_ENTITY)
     errors = drafts.domain_errors(drafts.code_literals(F.col("sql")), governed, DOMAINS, TABLE_ENTITY)
-    return refs.select("draft_id", F.explode(errors).alias("error"))
+    return unnest(refs, errors, "error", "draft_id")
 
 
 def _verdicts(spark, folder):
@@ -143,14 +147,17 @@ def _with_sql(spark, folder):
     return _prepared(spark, folder).where(~scoring.is_trick() & scoring.has_sql())
 
 
+def _unknown(spark, folder, names):
+    found = scoring.unknown_names(_with_sql(spark, folder), catalog_rows(spark))
+    return found.where(F.size(names) > 0).select("draft_id", _joined(names).alias("names"))
+
+
 def score_unknown_tables(spark, folder):
-    found = scoring.unknown_tables(_with_sql(spark, folder), catalog_rows(spark))
-    return found.select("draft_id", _joined("names").alias("names"))
+    return _unknown(spark, folder, "bad_tables")
 
 
 def score_unknown_columns(spark, folder):
-    found = scoring.unknown_columns(_with_sql(spark, folder), catalog_rows(spark))
-    return found.select("draft_id", _joined("names").alias("names"))
+    return _unknown(spark, folder, "bad_columns")
 
 
 def score_coverage(spark, folder):

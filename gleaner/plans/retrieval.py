@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import tokens
 from gleaner.operators import assembly, dense, fusion, index, search
-from gleaner.session import new_folder
+from gleaner.session import new_folder, write_table
 from gleaner.sources.tables import Tables, benchmark_questions, named_documents, vector_corpus
 
 
@@ -47,7 +47,7 @@ def tokenize(spark, folder):
 
 def bm25_stats(spark, folder):
     _, docs = _inputs(spark, folder)
-    terms = index.doc_frequencies(index.word_counts(docs))
+    terms = write_table(index.document_frequencies(docs), "terms")
     stats = index.corpus_stats(index.doc_lengths(docs), terms)
     n_docs, avg_dl, mean_idf = (stats.select(c).scalar() for c in ("n_docs", "avg_dl", "mean_idf"))
     return terms.select(
@@ -94,7 +94,7 @@ def rrf_dense_only(spark, folder):
 
 def rerank_topk(spark, folder):
     questions, idx, vectors, words = _lists(spark, folder)
-    fused = fusion.rrf_fuse(vectors, words)
+    fused = write_table(fusion.rrf_fuse(vectors, words), "candidates")
     return _ranked(fusion.rerank(fused, fusion.word_overlap(fused, questions, idx)))
 
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# A broadcast of this many narrow rows stays near 100 MB per executor.
+BROADCAST_ROWS = 500_000
 
 _local_folders: dict[str, str] = {}
 
@@ -31,3 +35,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; nothing is created or removed."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def write_table(rows: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, which outlives lost executors."""
+    path = new_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def broadcast_if_small(rows: DataFrame, n_rows: int) -> DataFrame:
+    """A broadcast for a side counted beforehand; a larger one is left to the planner."""
+    return F.broadcast(rows) if n_rows <= BROADCAST_ROWS else rows
