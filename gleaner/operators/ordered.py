@@ -32,9 +32,14 @@ def running_total(
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(key, "_chunk", F.sum("_total").over(before).alias("_carried"))
     within = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    kind = rows.schema[value].dataType
-    summed = F.coalesce(F.col("_carried"), F.lit(0).cast(kind)) + F.sum(value).over(within)
-    return cut.join(carried, [key, "_chunk"]).withColumn(name, summed).drop("_chunk", "_carried")
+    zero = F.lit(0).cast(rows.schema[value].dataType)
+    # As in a single window, a row has no total while all values up to it are NULL.
+    summed = F.when(
+        F.col("_carried").isNotNull() | F.col("_within").isNotNull(),
+        F.coalesce("_carried", zero) + F.coalesce("_within", zero),
+    )
+    joined = cut.join(carried, [key, "_chunk"]).withColumn("_within", F.sum(value).over(within))
+    return joined.withColumn(name, summed).drop("_chunk", "_carried", "_within")
 
 
 def neighbours(
