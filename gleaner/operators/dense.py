@@ -9,11 +9,13 @@ pair leaves a task but those. Beyond one block the corpus is read again.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ from gleaner.operators.search import DIGITS, top_per_key
 BLOCK_BYTES = 64 * 1024 * 1024
 METRICS = ("l2", "cosine")
 
+# Tasks get this module's functions with the job; executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _distances(metric: str, vectors: np.ndarray, asked: np.ndarray) -> np.ndarray:
     dot = vectors @ asked.T

@@ -214,10 +214,10 @@ ORACLES = {
         (SELECT count(*) FROM new) AS tables_found""",
     "refresh_idempotent": f"WITH {_DOCS} SELECT action, (SELECT count(*) FROM docs) AS tables_found FROM (VALUES ('reindexed'), ('skipped')) AS t(action)",
     "refresh_state": f"WITH {_DOCS} SELECT '' AS before, true AS is_current, count(*) AS n_docs FROM docs",
-    "refresh_stream_once": _SNAPSHOTS + f""" SELECT doc_id, CASE WHEN change IS NULL THEN 1 ELSE 2 END AS version, sha,
+    "refresh_stream_once": _SNAPSHOTS + f""" SELECT doc_id, (CASE WHEN change IS NULL THEN 1 ELSE 2 END)::BIGINT AS version, sha,
         len(list_distinct({_WORDS})) AS n_terms, len({_WORDS}) AS n_tokens FROM new LEFT JOIN diff USING (doc_id)""",
-    "refresh_log": _SNAPSHOTS + """ SELECT 0 AS batch, 'reindexed' AS action, count(*) AS docs_changed, 0 AS docs_removed, count(*) AS tables_found FROM old
-        UNION ALL SELECT 1, 'reindexed', count(*) FILTER (WHERE change <> 'removed'), count(*) FILTER (WHERE change = 'removed'),
+    "refresh_log": _SNAPSHOTS + """ SELECT 0::BIGINT AS batch, 'reindexed' AS action, count(*) AS docs_changed, 0::BIGINT AS docs_removed, count(*) AS tables_found FROM old
+        UNION ALL SELECT 1::BIGINT, 'reindexed', count(*) FILTER (WHERE change <> 'removed'), count(*) FILTER (WHERE change = 'removed'),
           (SELECT count(*) FROM new) FROM diff""",
     "index_build": f"""WITH {_DOCS}, words AS (SELECT doc_id, unnest({_WORDS}) AS term FROM docs)
         SELECT index_table, n_rows, (SELECT count(*) FROM docs) AS chunks FROM (
@@ -233,5 +233,5 @@ ORACLES = {
         FROM orders GROUP BY ALL""",
     "question_set": """SELECT item_id AS question_no, md5(text) AS question_md5,
         CASE WHEN item_id % 3 <> 0 THEN 'table_' || (item_id % 7) ELSE '' END AS expected_tables,
-        CASE WHEN item_id % 4 <> 0 THEN 2 ELSE 0 END AS n_columns FROM benchmark""",
+        (CASE WHEN item_id % 4 <> 0 THEN 2 ELSE 0 END)::BIGINT AS n_columns FROM benchmark""",
 }
