@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.search import DIGITS, top_per_key
+from gleaner.session import write_table
 
 BLOCK_BYTES = 64 * 1024 * 1024
 METRICS = ("l2", "cosine")
@@ -40,6 +41,12 @@ def _distances(metric: str, vectors: np.ndarray, asked: np.ndarray) -> np.ndarra
 
 
 def _keep_best(best: tuple[np.ndarray, np.ndarray] | None, ids: np.ndarray, found: np.ndarray, k: int):
+    """The k least (distance, id); only rows that can be among them are sorted."""
+    limit = np.partition(found, k - 1)[k - 1] if len(found) > k else np.inf
+    if best is not None and len(best[0]) == k:
+        limit = min(limit, best[1][-1])
+    near = found <= limit
+    ids, found = ids[near], found[near]
     if best is not None:
         ids, found = np.concatenate([best[0], ids]), np.concatenate([best[1], found])
     order = np.lexsort((ids, found))[:k]
@@ -91,7 +98,8 @@ def _search_block(corpus: DataFrame, asked: pd.DataFrame, k: int, metric: str, b
 def _search(queries: DataFrame, corpus: DataFrame, k: int, metric: str, buckets) -> DataFrame:
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    asked = queries.select("q_id", "vector")
+    # Every block and pass must see the very same vectors.
+    asked = write_table(queries.select("q_id", "vector"), "query-vectors")
     shape = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
     spark = corpus.sparkSession
     if not shape.n:

@@ -162,6 +162,7 @@ def parse_catalog(docs: DataFrame) -> DataFrame:
 
 
 def column_tables(catalog: DataFrame) -> DataFrame:
-    """(column, tables): the inverted catalog. A column name that most tables share is the
-    one group that grows, with the number of tables only."""
-    return catalog.groupBy("column").agg(F.sort_array(F.collect_set("table")).alias("tables"))
+    """(column, table, n_tables): the inverted catalog as rows. A name such as `id` may be in
+    most tables, so the tables of a column are not collected into one list."""
+    rows = catalog.select("column", "table").distinct()
+    return rows.join(rows.groupBy("column").agg(F.count(F.lit(1)).alias("n_tables")), "column")

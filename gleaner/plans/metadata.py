@@ -136,10 +136,7 @@ def catalog_columns(spark, folder):
 
 
 def column_tables(spark, folder):
-    inverted = metadata.column_tables(catalog_columns(spark, folder))
-    return inverted.select(
-        "column", F.size("tables").cast("long").alias("n_tables"), F.md5(F.array_join("tables", ",")).alias("tables_md5")
-    )
+    return metadata.column_tables(catalog_columns(spark, folder))
 
 
 QUERIES = {
@@ -200,6 +197,5 @@ ORACLES = {
     "meta_doc_gaps": _META + " SELECT table_name, n_gaps FROM docs WHERE n_gaps > 0",
     "doc_sink": _META + " SELECT table_name, text FROM docs",
     "catalog_columns": _META + " SELECT * FROM" + _CATALOG,
-    "column_tables": _META + ' SELECT "column", count(*) AS n_tables, md5(string_agg("table", \',\' ORDER BY "table")) AS tables_md5 FROM'
-    + _CATALOG + " GROUP BY 1",
+    "column_tables": _META + ' SELECT "column", "table", count(*) OVER (PARTITION BY "column") AS n_tables FROM' + _CATALOG,
 }

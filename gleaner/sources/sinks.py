@@ -15,6 +15,11 @@ def append_log(records: DataFrame, path: str) -> None:
     records.drop("raw_chunks").write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
+def write_report(lines: DataFrame, path: str) -> None:
+    """(line_no, line) as text. The sort is by range, so the files in name order are the report."""
+    lines.orderBy("line_no").select("line").write.text(path)
+
+
 def read_question_set(spark: SparkSession, path: str) -> DataFrame:
     """Questions from JSON lines; a missing list is an empty one."""
     rows = spark.read.schema(QUESTION_SET).json(path)

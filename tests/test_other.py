@@ -178,3 +178,19 @@ def test_date_filters_reach_the_scan(spark, folder):
     plan = QUERIES["calendar_range"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan
     assert Tables(spark, folder).orders.columns
+
+
+def test_report_files_hold_the_lines_in_order(spark):
+    from gleaner.operators import scoring
+
+    rows = spark.createDataFrame(
+        [(i, "q" * (50 + i), 1.0, 0.5, "a.md" if i else None, "r") for i in range(9)],
+        "question_no long, question string, rag double, no_rag double, citations string, reason string",
+    )
+    path = new_folder(spark, "report")
+    sinks.write_report(scoring.report_lines(rows, "Report"), path)
+    lines = [r.value for r in spark.read.text(path).withColumn("f", F.col("_metadata.file_name")).orderBy("f").collect()]
+    assert len(lines) == 22 and sorted(lines[13:15])[0].startswith("| 0 | ")
+    assert "| 0 | " + "q" * 50 + " | 1.0 | 0.5 | +0.5 | — | r |" in lines
+    assert "| 6 | " + "q" * 55 + "… | 1.0 | 0.5 | +0.5 | a.md | r |" in lines
+    assert "| RAG enabled | **1.00** |" in lines
