@@ -16,6 +16,7 @@ from gleaner.plans.fixtures import (
     catalog_sql,
     text_literal,
 )
+from gleaner.session import write_table
 from gleaner.sources.tables import Tables, spread
 
 
@@ -217,7 +218,9 @@ def report_rows(spark, folder):
 
 
 def eval_report(spark, folder):
-    return scoring.report_lines(report_rows(spark, folder), "Draft evaluation report")
+    # Read twice, for the means and for the lines.
+    rows = write_table(report_rows(spark, folder), "report-rows")
+    return scoring.report_lines(rows, "Draft evaluation report")
 
 
 QUERIES = {

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import index, refresh, snapshots
 from gleaner.plans.fixtures import answers
+from gleaner.plans.retrieval import build_index
 from gleaner.session import new_folder
 from gleaner.sources import sinks
 from gleaner.sources.tables import Tables, named_documents
@@ -108,9 +109,7 @@ def refresh_log(spark, folder):
 
 def index_build(spark, folder):
     """Rows of the four index tables after a full build."""
-    path = new_folder(spark, "index")
-    chunks = index.build_index(_docs(spark, folder), path)
-    built = index.read_index(spark, path)
+    built, chunks = build_index(spark, folder)
     count = F.count(F.lit(1)).alias("n_rows")
     tables = {"docs": built.docs, "postings": built.postings, "terms": built.terms, "corpus": built.corpus}
     rows = None

@@ -23,12 +23,18 @@ def written_index(spark: SparkSession, folder: str) -> index.Index:
     """The corpus is indexed once per session and corpus folder, then only read."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _indexes:
-        path = new_folder(spark, "index")
-        index.build_index(named_documents(Tables(spark, folder).documents), path)
-        _indexes[key] = path
+        build_index(spark, folder)
     return index.read_index(spark, _indexes[key])
 
 
+def build_index(spark: SparkSession, folder: str) -> tuple[index.Index, int]:
+    """Index the corpus anew and make that the session's index of it."""
+    path = new_folder(spark, "index")
+    chunks = index.build_index(named_documents(Tables(spark, folder).documents), path)
+    _indexes[spark.sparkContext.applicationId, folder] = path
+    return index.read_index(spark, path), chunks
+
+
 def _ranked(rows: DataFrame) -> DataFrame:
     return rows.select("q_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
