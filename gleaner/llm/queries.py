@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontam, simhash
+from gleaner.llm import decontam, langid, quality, simhash
 from gleaner.sources.tables import Tables
 
 
@@ -12,10 +12,19 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.op1_simhash(Tables(spark, folder).documents)
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    tables = Tables(spark, folder)
+    return quality.op2_quality(tables.documents, tables.labels)
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
     return decontam.op7_decontamination(tables.documents, tables.benchmark)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op7_decontamination)}
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.op8_language(Tables(spark, folder).documents)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op7_decontamination, op8_language)}
 ORACLES = {"op7_decontamination": decontam.SQL}
