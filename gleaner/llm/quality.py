@@ -27,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def features(text: str, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids of word 1- and 2-grams with L2-normalised log counts, and the bias at id 0."""
+    """Distinct ids of word 1- and 2-grams, and of repetitions, with L2-normalised log counts, and the bias at id 0."""
     tokens = _TOKEN.findall(text)
     if len(cache) > CACHE_WORDS:
         cache.clear()
@@ -38,7 +38,9 @@ def features(text: str, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
             h = cache[token] = learn.word_hash(token)
         hashes[i] = h
     pairs = hashes[:-1] * np.uint32(0x9E3779B1) + hashes[1:]
-    grams = learn.mix(np.concatenate((hashes, pairs)), BITS)
+    # The n-grams `a a` and `a x a` whatever their words, under ids of their own.
+    again = [np.full((hashes[lag:] == hashes[:-lag]).sum(), learn.word_hash(f"again {lag}"), dtype=np.uint32) for lag in (1, 2)]
+    grams = learn.mix(np.concatenate((hashes, pairs, *again)), BITS)
     ids, counts = np.unique(np.maximum(grams, 1), return_counts=True)
     values = np.log1p(counts)
     norm = np.sqrt((values**2).sum()) or 1.0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontam, langid, quality, simhash
+from gleaner.llm import decontam, langid, quality, simhash, toxicity
 from gleaner.sources.tables import Tables
 
 
@@ -17,6 +17,11 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.op2_quality(tables.documents, tables.labels)
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    tables = Tables(spark, folder)
+    return toxicity.op6_toxicity(tables.documents, tables.labels)
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
     return decontam.op7_decontamination(tables.documents, tables.benchmark)
@@ -26,5 +31,5 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.op8_language(Tables(spark, folder).documents)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op7_decontamination, op8_language)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op6_toxicity, op7_decontamination, op8_language)}
 ORACLES = {"op7_decontamination": decontam.SQL}
