@@ -31,7 +31,7 @@ def mix(hashes: np.ndarray, bits: int) -> np.ndarray:
     h = hashes.astype(np.uint32, copy=False)
     h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
     h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return ((h ^ (h >> np.uint32(16))) >> np.uint32(32 - bits)).astype(np.int64)
+    return ((h ^ (h >> np.uint32(16))) >> np.uint32(32 - bits)).astype(np.int32)
 
 
 def word_hash(word: str) -> int:
@@ -75,11 +75,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, dims: in
     return model.weights(slice(None)).astype(np.float32)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, divisor: int, fold: int) -> DataFrame:
-    """(text, target) of at most TRAIN_ROWS documents with a label 0 or 1, none of the held-out fold."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, divisor: int, fold: int, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(text, target) of at most `rows` documents with a label 0 or 1, none of the held-out fold."""
     known = labels.where(~in_fold(F.col("doc_id"), divisor, fold) & F.col("doc_id").isNotNull() & F.col(target).isin(0, 1))
-    some = known.select("doc_id", F.col(target).cast("int").alias("target")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    # At most TRAIN_ROWS rows of two numbers: a broadcast of proven size.
+    some = known.select("doc_id", F.col(target).cast("int").alias("target")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # At most so many rows of two numbers: a broadcast of proven size.
     return documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "target")
 
 

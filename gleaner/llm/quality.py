@@ -44,7 +44,7 @@ def features(text: str, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     ids, counts = np.unique(np.maximum(grams, 1), return_counts=True)
     values = np.log1p(counts)
     norm = np.sqrt((values**2).sum()) or 1.0
-    return np.concatenate(([0], ids)), np.concatenate(([1.0], values / norm * 3.0))
+    return np.concatenate((np.zeros(1, dtype=np.int32), ids)), np.concatenate(([1.0], values / norm * 3.0)).astype(np.float32)
 
 
 def _fitted(rows: pd.DataFrame) -> bytes:
