@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.session import write_table
@@ -50,3 +50,15 @@ def components(links: DataFrame) -> DataFrame:
         roots = found.select("node", "root")
         if found.where("moved").isEmpty():
             return roots
+
+
+def numbered(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Adds `out`: the place of each row in the order of the whole table, from 0, without a single-task
+    sort: range partitions are counted, then numbered within. The written table fixes the ranges."""
+    ranged = write_table(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range partition, however many rows there are.
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + within - 1).drop("_part", "_start")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontam, langid, quality, simhash, toxicity
+import corpus_pipeline
+from gleaner.llm import decontam, langid, linedup, mixing, quality, simhash, toxicity, urls
 from gleaner.sources.tables import Tables
 
 
@@ -17,6 +18,10 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.op2_quality(tables.documents, tables.labels)
 
 
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.op5_mixing(Tables(spark, folder).documents)
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
     return toxicity.op6_toxicity(tables.documents, tables.labels)
@@ -31,5 +36,19 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.op8_language(Tables(spark, folder).documents)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op6_toxicity, op7_decontamination, op8_language)}
-ORACLES = {"op7_decontamination": decontam.SQL}
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linedup.op9_line_dedup(Tables(spark, folder).documents)
+
+
+def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.op10_urls(Tables(spark, folder).pages)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_quality, op5_mixing, op6_toxicity, op7_decontamination, op8_language, op9_line_dedup, op10_urls,
+    )
+}
+QUERIES["pipeline"] = corpus_pipeline.run
+ORACLES = {"op5_mixing": mixing.SQL, "op7_decontamination": decontam.SQL, "op9_line_dedup": linedup.SQL}

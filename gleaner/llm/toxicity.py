@@ -8,6 +8,7 @@ word beginnings of the restored text feed a logistic regression trained by FTRL
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 from itertools import groupby
@@ -15,7 +16,6 @@ from math import log
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,10 +44,12 @@ MASKS = "*#_%"
 # Log costs of the channel: a substituted sign, a guessed masked letter, a collapsed repetition, a kept digit.
 SUBSTITUTED, GUESSED, COLLAPSED, KEPT = -0.5, -1.0, -0.2, -6.0
 
-_SPACED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}\d@$!][ ._\-]+){2,}[\p{L}\d@$!](?![\p{L}\p{N}])")
-_WORD = regex.compile(r"[@$]?[\p{L}\d](?:[\p{L}\d@$!|+€£(¡*#_%]*[\p{L}\d])?")
-_DISGUISED = regex.compile(r"[^\p{L}]|(\p{L})\1\1")
-_LETTER = regex.compile(r"\p{L}")
+# A word within a run of other signs; letters spelled out with signs between.
+_WORD = re.compile(r"[@$]?[^\W_](?:[^\W_]|[@$!|+€£(¡*#_%](?=\S*[^\W_]))*")
+_SPELLED = re.compile(r"(?:[^\W_]|[@$!])(?:[._\-*]+(?:[^\W_]|[@$!])){2,}")
+_SPACED = re.compile("1{3,}")
+_DISGUISED = re.compile(r"[\W\d_]|([^\W\d_])\1\1")
+_LETTER = re.compile(r"[^\W\d_]")
 
 # Tasks get this module's functions with the job; executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -65,12 +67,13 @@ def trigram_counts(documents: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables = [np.zeros(1 << bits, dtype=np.int64) for bits in (TRIGRAM_BITS, CONTEXT_BITS)]
         for rows in batches:
-            for letters in map(letters_of, rows["text"]):
-                for start in range(0, len(letters), CHUNK):
-                    c = np.frombuffer(letters[start : start + CHUNK + 2].encode("utf-32-le"), dtype=np.uint32)
-                    if len(c) > 2:
-                        tables[0] += np.bincount(learn.mix(_hashed(c[:-2], c[1:-1], c[2:]), TRIGRAM_BITS), minlength=1 << TRIGRAM_BITS)
-                        tables[1] += np.bincount(learn.mix(_hashed(c[:-2], c[1:-1]), CONTEXT_BITS), minlength=1 << CONTEXT_BITS)
+            # Two blanks between words: a word begins in the same context everywhere.
+            letters = "".join(map(letters_of, rows["text"])).replace(" ", "  ")
+            for start in range(0, len(letters), CHUNK):
+                c = np.frombuffer(letters[start : start + CHUNK + 2].encode("utf-32-le"), dtype=np.uint32)
+                if len(c) > 2:
+                    tables[0] += np.bincount(learn.mix(_hashed(c[:-2], c[1:-1], c[2:]), TRIGRAM_BITS), minlength=1 << TRIGRAM_BITS)
+                    tables[1] += np.bincount(learn.mix(_hashed(c[:-2], c[1:-1]), CONTEXT_BITS), minlength=1 << CONTEXT_BITS)
         for kind, table in enumerate(tables):
             used = np.flatnonzero(table)
             yield pd.DataFrame({"kind": kind, "bucket": used, "n": table[used]})
@@ -148,30 +151,66 @@ class Restorer:
             self.words[word] = self.decode(word)
         return self.words[word]
 
-    def restored(self, text: str | None) -> set[str]:
-        """Distinct restored words of a whole text, spaced-out ones joined."""
-        text = text.lower() if text else ""
-        found = set(_WORD.findall(text))
-        for spaced in set(_SPACED.findall(text)):
-            joined = regex.sub(r"[ ._\-]+", "", spaced)
-            if len(set(joined)) > 2:
-                found.add(joined)
-        return {self.restore(word) for word in found}
-
-
-def features(words: set[str], cache: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Presence of words and of their beginnings of 3 to 6 signs, and the bias at id 0."""
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    ids = []
-    for word in words:
-        known = cache.get(word)
-        if known is None:
-            parts = [f"={word}", *(word[:n] for n in range(3, min(7, len(word) + 1)))]
-            known = cache[word] = np.maximum(learn.mix(np.array([learn.word_hash(x) for x in parts], dtype=np.uint32), BITS), 1)
-        ids.append(known)
-    distinct = np.unique(np.concatenate(ids)) if ids else np.zeros(0, dtype=np.int32)
-    return np.concatenate((np.zeros(1, dtype=np.int32), distinct)), np.ones(len(distinct) + 1, dtype=np.float32)
+    def restored(self, token: str) -> list[str]:
+        """The words of one token between blanks, restored."""
+        if _SPELLED.fullmatch(token):
+            return [self.restore(re.sub(r"[._\-*]+", "", token))]
+        return [self.restore(word) for word in _WORD.findall(token)]
+
+
+def tokens_of(text: str | None) -> set[str]:
+    """Distinct tokens of a whole text between blanks, lower-cased; three and more single letters in a row also as one."""
+    tokens = text.lower().split() if text else []
+    single = "".join(["1" if len(token) == 1 else "0" for token in tokens])
+    spelled = ("".join(tokens[m.start() : m.end()]) for m in _SPACED.finditer(single))
+    return {*tokens, *(word for word in spelled if len(set(word)) > 2)}
+
+
+class Features:
+    """Ids of restored words and of their beginnings of 3 to 6 signs, remembered by token."""
+
+    def __init__(self, restorer: Restorer, weights: np.ndarray | None = None):
+        """With weights, only ids that have one are remembered: for scoring, the others are nothing."""
+        self.restorer, self.weights = restorer, weights
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def of(self, text: str | None) -> set[int]:
+        ids: set[int] = set()
+        fresh = []
+        for token in tokens_of(text):
+            found = self.known.get(token)
+            if found is None:
+                fresh.append(token)
+            elif found:
+                ids.update(found)
+        if fresh:
+            ids.update(self._learn(fresh))
+        return ids
+
+    def _learn(self, tokens: list[str]) -> list[int]:
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        hashes, ends = [], []
+        for token in tokens:
+            for word in self.restorer.restored(token):
+                hashes.append(learn.word_hash(f"={word}"))
+                hashes += [learn.word_hash(word[:n]) for n in range(3, min(7, len(word) + 1))]
+            ends.append(len(hashes))
+        ids = np.maximum(learn.mix(np.array(hashes, dtype=np.uint32), BITS), 1)
+        if self.weights is not None:
+            ids = np.where(self.weights[ids] != 0, ids, 0)
+        start, all_ids = 0, ids.tolist()
+        for token, end in zip(tokens, ends):
+            self.known[token] = tuple(i for i in all_ids[start:end] if i)
+            start = end
+        return [i for i in all_ids if i]
+
+
+def _row(ids: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Presence of the ids, and the bias at id 0."""
+    found = np.fromiter(ids, dtype=np.int32, count=len(ids))
+    found.sort()
+    return np.concatenate((np.zeros(1, dtype=np.int32), found)), np.ones(len(found) + 1, dtype=np.float32)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame) -> Column:
@@ -185,8 +224,8 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> Column:
     tables = spark.sparkContext.broadcast(language_model(documents))
 
     def fitted(rows: pd.DataFrame) -> bytes:
-        restorer, cache = Restorer(*tables.value), {}
-        made = [features(restorer.restored(text), cache) for text in rows["text"]]
+        features = Features(Restorer(*tables.value))
+        made = [_row(features.of(text)) for text in rows["text"]]
         targets = rows["target"].to_numpy(dtype=np.float64)[:, None]
         return learn.fit(made, targets, 1 << BITS, alpha=1.0, l1=4.0).tobytes()
 
@@ -194,12 +233,12 @@ def toxicity(documents: DataFrame, labels: DataFrame) -> Column:
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights = np.frombuffer(model.value, dtype=np.float32) if model.value else None
-        restorer, cache = Restorer(*tables.value), {}
+        features = Features(Restorer(*tables.value), weights)
         for texts in batches:
             out = np.full(len(texts), 0.5)
             if weights is not None:
                 for i, text in enumerate(texts):
-                    ids, values = features(restorer.restored(text), cache)
+                    ids, values = _row(features.of(text))
                     out[i] = 1.0 / (1.0 + np.exp(-np.clip(values @ weights[ids], -30, 30)))
             yield pd.Series(out)
 
