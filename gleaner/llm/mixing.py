@@ -149,6 +149,8 @@ def mixed(rows: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: str =
     """`rows` (doc_id, source, size, digest and any other columns) with source_size, target, taken and
     pieces: array of (shard, slot, first_word, n_words) in the order of the stream; a word of the second
     reading counts again."""
+    # Read by the totals and by both sides of the layout: words are counted once.
+    rows = write_table(rows, "sized")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     known = targets(sizes)
     kept = known.select(F.col("source").alias("_source"), "source_size", "target")

@@ -69,7 +69,3 @@ def op2_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     scores = documents.select("doc_id", in_fold(F.col("doc_id"), *HELD_OUT).alias("held_out"), quality(documents, labels).alias("score"))
     return scores.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
-
-def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents' own columns; rows scored below THRESHOLD go."""
-    return documents.withColumn("_quality", quality(documents, labels)).where(F.col("_quality") >= THRESHOLD).drop("_quality")
