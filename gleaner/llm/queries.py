@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gleaner.llm import decontam, hnsw, langid, linedup, mixing, quality, simhash, toxicity, urls
+from gleaner.llm import decontam, hnsw, langid, linedup, mixing, quality, simhash, substring, toxicity, urls
 from gleaner.sources.tables import Tables
 
 
@@ -18,6 +18,10 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.op2_quality(tables.documents, tables.labels)
 
 
+def op3_substring(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.op3_substring(Tables(spark, folder).documents)
+
+
 def op4_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return hnsw.op4_embeddings(Tables(spark, folder).embeddings)
 
@@ -51,8 +55,8 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_simhash, op2_quality, op4_embeddings, op5_mixing, op6_toxicity, op7_decontamination, op8_language,
-        op9_line_dedup, op10_urls,
+        op1_simhash, op2_quality, op3_substring, op4_embeddings, op5_mixing, op6_toxicity, op7_decontamination,
+        op8_language, op9_line_dedup, op10_urls,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run

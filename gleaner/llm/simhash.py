@@ -130,7 +130,7 @@ def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, digest, fp, component_id) for every document row.
+    """(doc_id, digest, fp, root, component_id) for every document row.
 
     component_id is the smallest doc_id reachable over links, the row's own
     included; rows of NULL id alone get NULL. NULL and blank texts have
@@ -143,8 +143,8 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFra
     roots = components(links(nodes.select("fp"), threshold)).withColumnRenamed("node", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    rooted = write_table(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "rooted")
-    return printed.join(rooted, "fp").select("doc_id", "digest", "fp", "component_id")
+    rooted = write_table(rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "rooted")
+    return printed.join(rooted, "fp").select("doc_id", "digest", "fp", "root", "component_id")
 
 
 def op1_simhash(documents: DataFrame) -> DataFrame:
@@ -156,10 +156,8 @@ def keep_one(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The documents' own columns, one row of each group: that of the smallest (doc_id, digest), NULL ids last."""
     found = near_duplicates(documents, threshold)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
-    ranked = found.groupBy("component_id").agg(F.min(rank).alias("best"))
-    # Rows of NULL id have no component id of their own; their group is told by the fingerprint.
-    alone = found.where("component_id is null").groupBy("fp").agg(F.min(rank).alias("best"))
-    best = ranked.where("component_id is not null").select("best").union(alone.select("best"))
+    # By root, not component_id: groups of one repeated doc_id share that.
+    best = found.groupBy("root").agg(F.min(rank).alias("best"))
     kept = write_table(best.select(F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_digest")).distinct(), "kept")
     marked = documents.withColumn("_print", text_digest(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_digest"))

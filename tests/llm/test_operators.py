@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from gleaner.llm import decontam, hnsw, langid, linedup, mixing, quality, simhash, toxicity, urls
+from gleaner.llm import decontam, hnsw, langid, linedup, mixing, quality, simhash, substring, toxicity, urls
 from gleaner.llm.common import components, numbered
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, component_id string, size string"
@@ -174,6 +174,53 @@ def test_codewords_differ():
         assert len(np.unique(code, axis=0)) == n
 
 
+# op3
+
+
+def brute_spans(texts, least):
+    import re
+
+    units = []
+    for t in texts:
+        cut = [0, *(m.end() for m in re.finditer(r"\n|[.!?](?=[ \t])", t)), len(t)]
+        units.append([(a, b, " ".join(t[a:b].lower().split())) for a, b in zip(cut, cut[1:]) if t[a:b].strip()])
+    seen, out = set(), []
+    for x in units:
+        spans, run = [], []
+        for a, b, u in [*x, (0, 0, None)]:
+            if u in seen and u is not None:
+                run.append((a, b, len(u.split())))
+                continue
+            if sum(n for *_, n in run) >= least:
+                spans.append((run[0][0], run[-1][1]))
+            run = []
+            seen.add(u)
+        out.append(spans)
+    return out
+
+
+def test_substring_dedup_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    pool = [" ".join(rng.choice(list("abcdé"), rng.integers(1, 12))) + str(rng.choice([".", "!", "", "?"])) for _ in range(30)]
+    texts = ["".join(x + str(rng.choice([" ", "\n", "  \n"])) for x in rng.choice(pool, rng.integers(1, 20))) for _ in range(50)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in substring.repeats(docs, 10).collect()}
+    want = brute_spans(texts, 10)
+    assert [got.get(i, []) for i in range(len(texts))] == want and any(want)
+    left = {r.doc_id: r.text for r in substring.without_repeats(docs, 10).collect()}
+    for i, t in enumerate(texts):
+        assert left[i] == "".join(c for k, c in enumerate(t) if not any(a <= k < b for a, b in want[i]))
+
+
+def test_substring_odd_rows(spark):
+    docs = odd_documents(spark)
+    got = substring.without_repeats(docs)
+    assert got.columns == docs.columns and got.count() == docs.count()
+    report = {r.doc_id: (r.n_chars, r.n_removed, r.removed) for r in substring.op3_substring(docs).where("doc_id is not null").collect()}
+    assert report[5] == (len(LONG), len(LONG), f"0-{len(LONG)}") and report[1] == (0, 0, "") and report[4][1] == 0
+    assert substring.op3_substring(empty(spark)).count() == 0
+
+
 # op4
 
 
