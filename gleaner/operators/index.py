@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import tokens, unnest
-from gleaner.session import new_folder, write_table
+from gleaner.session import new_folder, read_if_there, write_table
 
 BUCKETS = 16
 
@@ -157,10 +157,9 @@ def build_index(docs: DataFrame, path: str) -> int:
 
 def read_index(spark: SparkSession, path: str) -> Index:
     """The newest complete index under `path`; an error if there is none or it is empty."""
-    try:
-        builds = spark.read.parquet(f"{path}/builds")
-    except Exception as error:
-        raise RuntimeError(f"No index at {path}. Build one first.") from error
+    builds = read_if_there(spark, f"{path}/builds")
+    if builds is None:
+        raise RuntimeError(f"No index at {path}. Build one first.")
     newest = builds.agg(F.max_by(F.struct("home", "chunks"), "built_at").alias("build")).first()
     if newest is None or newest.build is None or newest.build.chunks == 0:
         raise RuntimeError(f"The index at {path} is empty. Build it first.")

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import index, snapshots
+from gleaner.session import read_if_there
 from gleaner.sources.sinks import append_log
 
 
 def load_state(spark: SparkSession, path: str) -> str:
     """The last saved fingerprint; '' before the first one."""
-    try:
-        states = spark.read.parquet(f"{path}/state")
-    except Exception:
+    states = read_if_there(spark, f"{path}/state")
+    if states is None:
         return ""
     newest = states.agg(F.max_by("fingerprint", "saved_at").alias("fingerprint")).first()
     return newest.fingerprint or ""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.ordered import latest_rows, neighbours
+from gleaner.session import write_table
 
 MONEY = "decimal(15,2)"
 
@@ -61,6 +62,7 @@ def reconcile(parents: DataFrame, key: str, expected: Column, children: DataFram
 def share_of_total(rows: DataFrame, key: str, value: Column, *, name: str = "share") -> DataFrame:
     """Adds each row's share of its key's total. Totals are grouped and joined back
     rather than windowed: a window would bring a hot key's rows to one task, while
-    the join can split them."""
-    totals = rows.groupBy(key).agg(F.sum(value).alias("_total"))
-    return rows.join(totals, key).withColumn(name, value / F.col("_total")).drop("_total")
+    the join can split them, as the totals are written first and both sides are
+    plain shuffles. The share of a total of 0 is NULL."""
+    totals = write_table(rows.groupBy(key).agg(F.sum(value).alias("_total")), "totals")
+    return rows.join(totals, key).withColumn(name, F.try_divide(value, F.col("_total"))).drop("_total")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,16 @@ def write_table(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def read_if_there(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The parquet table at `path`, or None where nothing was written yet; every other error is raised."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def broadcast_if_small(rows: DataFrame, n_rows: int) -> DataFrame:
     """A broadcast for a side counted beforehand; a larger one is left to the planner."""
     return F.broadcast(rows) if n_rows <= BROADCAST_ROWS else rows

@@ -23,6 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gleaner.operators.index import word_counts
 from gleaner.operators.ordered import latest_rows
 from gleaner.operators.snapshots import document_hash
+from gleaner.session import read_if_there
 
 VERSIONS = "doc_id long, version long, file_name string, text string, deleted boolean"
 CHANGES = "doc_id long, version long, file_name string, sha string, deleted boolean, batch long"
@@ -31,10 +32,8 @@ POSTINGS = "doc_id long, term string, tf long, dl long, batch long"
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """An empty table before the first batch wrote it."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:
-        return spark.createDataFrame([], schema)
+    found = read_if_there(spark, path, schema)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def live_documents(spark: SparkSession, home: str, *, before: int | None = None) -> DataFrame:
