@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import tokens
-from gleaner.operators import assembly, dense, fusion, index, search
+from gleaner.operators import assembly, dense, fusion, index, search, snapshots
 from gleaner.session import new_folder, write_table
 from gleaner.sources.tables import Tables, benchmark_questions, named_documents, vector_corpus
 
@@ -19,19 +19,27 @@ def _inputs(spark: SparkSession, folder: str):
 _indexes: dict[tuple[str, str], str] = {}
 
 
+def _content_key(spark: SparkSession, docs: DataFrame) -> tuple[str, str]:
+    """The session and the fingerprint of the documents: other documents are another index."""
+    return spark.sparkContext.applicationId, snapshots.fingerprint(snapshots.document_hashes(docs)).first().fingerprint
+
+
 def written_index(spark: SparkSession, folder: str) -> index.Index:
-    """The corpus is indexed once per session and corpus folder, then only read."""
-    key = (spark.sparkContext.applicationId, folder)
+    """The corpus is indexed once per session and content, then only read."""
+    docs = named_documents(Tables(spark, folder).documents)
+    key = _content_key(spark, docs)
     if key not in _indexes:
-        build_index(spark, folder)
+        _indexes[key] = new_folder(spark, "index")
+        index.build_index(docs, _indexes[key])
     return index.read_index(spark, _indexes[key])
 
 
 def build_index(spark: SparkSession, folder: str) -> tuple[index.Index, int]:
     """Index the corpus anew and make that the session's index of it."""
     path = new_folder(spark, "index")
-    chunks = index.build_index(named_documents(Tables(spark, folder).documents), path)
-    _indexes[spark.sparkContext.applicationId, folder] = path
+    docs = named_documents(Tables(spark, folder).documents)
+    chunks = index.build_index(docs, path)
+    _indexes[_content_key(spark, docs)] = path
     return index.read_index(spark, path), chunks
 
 
@@ -245,6 +253,46 @@ SELECT q_id, doc_id, distance, rank FROM (
   )
 ) WHERE rank <= 20"""
 
+_STEP = "(x * x * x + 12345 * x + 6789) % 1000003"
+_SIDES = """SELECT id, list(code ORDER BY tab) AS codes FROM (
+    SELECT id, j // 8 AS tab, sum(CASE WHEN side > middle THEN 1 << (j % 8)::INTEGER ELSE 0 END)::BIGINT AS code
+    FROM (SELECT id, j, list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * w[i])) AS side FROM {rows}, planes)
+    JOIN middles USING (j) GROUP BY ALL
+  ) GROUP BY id"""
+_LSH = """WITH means AS (
+  SELECT label, pos, avg(value) AS value FROM (
+    SELECT label, unnest(range(1, len(embedding) + 1)) AS pos, unnest(embedding::DOUBLE[]) AS value FROM embeddings
+  ) GROUP BY label, pos
+), asked AS (SELECT label::BIGINT AS id, list(value ORDER BY pos) AS v FROM means GROUP BY label),
+held AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+numbers AS (
+  SELECT j, d, j * 1009 + d AS x FROM range(128) a(j), range(1, (SELECT max(len(v)) FROM held) + 1) b(d)
+), planes AS (
+  SELECT j, list((x % 2001 - 1000)::DOUBLE ORDER BY d) AS w FROM (
+    SELECT j, d, """ + _STEP + """ AS x FROM (SELECT j, d, """ + _STEP + """ AS x FROM (SELECT j, d, """ + _STEP + """ AS x FROM numbers))
+  ) GROUP BY j
+), centre AS (
+  SELECT list(value ORDER BY pos) AS c FROM (
+    SELECT pos, avg(value) AS value FROM (SELECT unnest(range(1, len(v) + 1)) AS pos, unnest(v) AS value FROM held) GROUP BY pos
+  )
+), middles AS (SELECT j, list_sum(list_transform(range(1, len(c) + 1), lambda i: c[i] * w[i])) AS middle FROM planes, centre),
+asked_codes AS (""" + _SIDES.format(rows="asked") + """), held_codes AS (""" + _SIDES.format(rows="held") + """),
+pairs AS (
+  SELECT a.id AS q_id, h.id AS doc_id FROM asked_codes a, held_codes h
+  WHERE len(list_filter(range(1, 17), lambda t: bit_count(xor(a.codes[t], h.codes[t])) <= 1)) > 0
+), short AS (
+  SELECT id AS q_id FROM asked LEFT JOIN pairs ON q_id = id GROUP BY id HAVING count(doc_id) < 20
+), compared AS (
+  SELECT q_id, doc_id FROM pairs WHERE q_id NOT IN (SELECT q_id FROM short)
+  UNION ALL SELECT q_id, h.id FROM short, held h
+)
+SELECT q_id, doc_id, distance, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, doc_id) AS rank FROM (
+    SELECT q_id, doc_id, round(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - h.v[i]) * (a.v[i] - h.v[i]))), 6) AS distance
+    FROM compared JOIN asked a ON a.id = q_id JOIN held h ON h.id = doc_id
+  )
+) WHERE rank <= 20"""
+
 _TOP = " SELECT q_id, doc_id, rank, round(score, 6) AS score FROM "
 ORACLES = {
     "corpus_scan": f"WITH {_DOCS} SELECT doc_id, file_name, length(text) AS n_chars, md5(text) AS text_md5 FROM docs",
@@ -269,5 +317,6 @@ ORACLES = {
     "dense_topk_l2": _MEANS.format(
         distance="round(list_sum(list_transform(range(1, len(q) + 1), lambda i: (q[i] - v[i]) * (q[i] - v[i]))), 6)"
     ),
+    "dense_topk_lsh": _LSH,
     "dense_topk_cosine": _MEANS.format(distance="round(1 - list_cosine_similarity(q, v), 6)"),
 }

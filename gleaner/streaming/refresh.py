@@ -2,15 +2,16 @@
 
 A file stream does not see files edited in place or removed, so it reads
 immutable records: (doc_id, version, file_name, text, deleted). Each batch
-takes the latest version per document, drops those that change nothing, and
-writes only the rest:
+takes the latest version per document, drops those older than what is known
+(deletions included), and writes the rest:
 
-- `changes/batch=N`    doc_id, version, file_name, sha, dl, deleted
+- `changes/batch=N`    doc_id, version, file_name, sha, deleted, effect, posted
 - `postings/batch=N`   doc_id, term, tf, dl of changed documents
 - `log/batch=N`        action and counts, as JSON
 
-The live corpus is the newest change per document; its postings are those
-written by the same batch. A batch repeated after a crash overwrites its own
+The live corpus is the newest change per document; its postings are those of
+batch `posted`, the last that changed its text. `effect` is NULL where only the
+version moved on, so that a late older version is still told. A batch repeated after a crash overwrites its own
 folders, so nothing is counted twice. Text is tokenized only when it changed.
 """
 
@@ -26,7 +27,7 @@ from gleaner.operators.snapshots import document_hash
 from gleaner.session import read_if_there
 
 VERSIONS = "doc_id long, version long, file_name string, text string, deleted boolean"
-CHANGES = "doc_id long, version long, file_name string, sha string, deleted boolean, batch long"
+CHANGES = "doc_id long, version long, file_name string, sha string, deleted boolean, effect string, posted long, batch long"
 POSTINGS = "doc_id long, term string, tf long, dl long, batch long"
 
 
@@ -36,43 +37,54 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def live_documents(spark: SparkSession, home: str, *, before: int | None = None) -> DataFrame:
-    """(doc_id, file_name, version, sha, batch) of documents not deleted since."""
+def newest_changes(spark: SparkSession, home: str, *, before: int | None = None) -> DataFrame:
+    """The newest change of every document, deletions included."""
     changes = _read(spark, f"{home}/changes", CHANGES)
     if before is not None:
         changes = changes.where(F.col("batch") < before)
-    newest = latest_rows(changes, ["doc_id"], ["version", "batch"], ["file_name", "version", "sha", "deleted", "batch"])
-    return newest.where(~F.col("deleted")).drop("deleted")
+    kept = ["file_name", "version", "sha", "deleted", "posted", "batch"]
+    return latest_rows(changes, ["doc_id"], ["version", "batch"], kept)
+
+
+def live_documents(spark: SparkSession, home: str, *, before: int | None = None) -> DataFrame:
+    """(doc_id, file_name, version, sha, posted, batch) of documents not deleted since."""
+    return newest_changes(spark, home, before=before).where(~F.col("deleted")).drop("deleted")
 
 
 def live_postings(spark: SparkSession, home: str) -> DataFrame:
-    live = live_documents(spark, home).select("doc_id", "batch")
+    live = live_documents(spark, home).select("doc_id", F.col("posted").alias("batch"))
     return _read(spark, f"{home}/postings", POSTINGS).join(live, ["doc_id", "batch"], "left_semi").drop("batch")
 
 
 def apply_versions(versions: DataFrame, batch: int, home: str) -> None:
     """One batch: find what it changes against all earlier batches, and write that."""
     spark = versions.sparkSession
-    live = live_documents(spark, home, before=batch).select(
-        "doc_id", F.col("sha").alias("live_sha"), F.col("version").alias("live_version")
+    known = newest_changes(spark, home, before=batch).select(
+        "doc_id",
+        F.col("version").alias("known_version"),
+        (~F.col("deleted")).alias("is_live"),
+        F.when(~F.col("deleted"), F.col("sha")).alias("live_sha"),
+        F.col("posted").alias("live_posted"),
     )
     arrived = latest_rows(versions, ["doc_id"], ["version"], ["version", "file_name", "text", "deleted"])
-    compared = arrived.withColumn("sha", document_hash()).join(live, "doc_id", "left")
-    is_new = F.col("live_sha").isNull() | (F.col("version") > F.col("live_version"))
-    differs = F.when(F.col("deleted"), F.col("live_sha").isNotNull()).otherwise(
-        ~F.col("sha").eqNullSafe(F.col("live_sha"))
+    compared = arrived.withColumn("sha", document_hash()).join(known, "doc_id", "left")
+    is_new = F.col("known_version").isNull() | (F.col("version") > F.col("known_version"))
+    effect = F.when(F.col("deleted"), F.when(F.col("is_live"), "removed")).otherwise(
+        F.when(~F.col("sha").eqNullSafe(F.col("live_sha")), "changed")
     )
-    changed = compared.where(is_new & differs)
+    changed = compared.where(is_new).withColumn("effect", effect)
+    posted = F.when(F.col("effect") == "changed", F.lit(batch)).when(~F.col("deleted"), F.col("live_posted"))
+    changed = changed.withColumn("posted", posted.cast("long"))
     # Text and all, so that the changes are worked out once.
-    changed.select("doc_id", "version", "file_name", "sha", "deleted", "text").write.mode("overwrite").parquet(
+    changed.select("doc_id", "version", "file_name", "sha", "deleted", "effect", "posted", "text").write.mode("overwrite").parquet(
         f"{home}/arrived/batch={batch}"
     )
     written = spark.read.parquet(f"{home}/arrived/batch={batch}")
-    word_counts(written.where(~F.col("deleted"))).write.mode("overwrite").parquet(f"{home}/postings/batch={batch}")
+    word_counts(written.where("effect = 'changed'")).write.mode("overwrite").parquet(f"{home}/postings/batch={batch}")
     # The changes go last: until they are there, the batch is not part of the live corpus.
     written.drop("text").write.mode("overwrite").parquet(f"{home}/changes/batch={batch}")
     tally = written.agg(
-        F.count_if(~F.col("deleted")).alias("docs_changed"), F.count_if("deleted").alias("docs_removed")
+        F.count_if(F.col("effect") == "changed").alias("docs_changed"), F.count_if(F.col("effect") == "removed").alias("docs_removed")
     )
     total = live_documents(spark, home, before=batch + 1).select(F.count(F.lit(1))).scalar()
     action = F.when(F.col("docs_changed") + F.col("docs_removed") > 0, "reindexed").otherwise("skipped")

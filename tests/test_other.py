@@ -126,6 +126,22 @@ def test_refresh_cycle(spark):
     assert actions == ["reindexed", "skipped", "reindexed"]
 
 
+def test_late_versions_are_told_by_all_that_came_before(spark):
+    home = new_folder(spark, "stream")
+    batches = [
+        [(1, 1, "a", "one", False), (2, 1, "b", "two", False)],
+        [(1, 3, "a", None, True), (2, 3, "b", "two", False), (3, 3, "c", None, True)],
+        [(1, 2, "a", "late", False), (2, 2, "b", "late", False), (3, 2, "c", "late", False)],
+        [(1, 4, "a", "back", False)],
+    ]
+    for batch, rows in enumerate(batches):
+        stream.apply_versions(spark.createDataFrame(rows, stream.VERSIONS), batch, home)
+    log = {r.batch: (r.action, r.docs_changed, r.docs_removed, r.tables_found) for r in spark.read.json(f"{home}/log").collect()}
+    assert log == {0: ("reindexed", 2, 0, 2), 1: ("reindexed", 0, 1, 1), 2: ("skipped", 0, 0, 1), 3: ("reindexed", 1, 0, 2)}
+    assert {(r.doc_id, r.version) for r in stream.live_documents(spark, home).collect()} == {(1, 4), (2, 3)}
+    assert {(r.doc_id, r.term) for r in stream.live_postings(spark, home).collect()} == {(1, "back"), (2, "two")}
+
+
 def test_repeated_stream_batch_changes_nothing(spark):
     home = new_folder(spark, "stream")
     versions = lambda *rows: spark.createDataFrame(rows, stream.VERSIONS)

@@ -153,14 +153,59 @@ def test_dense_against_brute_force(spark, monkeypatch):
             assert mine == brute_force(queries, vectors, 7, metric)
 
 
+def vector_frame(spark, rows, key):
+    return spark.createDataFrame([(i, None if v is None else [float(x) for x in v]) for i, v in rows], f"{key} long, vector array<double>")
+
+
 def test_lsh_recall(spark, folder):
     vectors = vector_corpus(Tables(spark, folder).embeddings)
     queries = dense.label_means(vectors).select(F.col("label").cast("long").alias("q_id"), "vector")
-    exact = dense.dense_topk(queries, vectors, 10)
-    near = dense.dense_topk_lsh(queries, vectors, 10)
-    assert dense.recall(near, exact).first().recall > 0.8
-    wide = dense.dense_topk_lsh(queries, vectors, 10, width=1000.0)
-    assert wide.exceptAll(exact).count() == 0
+    for metric in dense.METRICS:
+        exact = dense.dense_topk(queries, vectors, 10, metric=metric)
+        near = dense.dense_topk_lsh(queries, vectors, 10, metric=metric)
+        assert dense.recall(near, exact).first().recall > 0.8
+
+
+def test_lsh_on_gaussian_vectors_scores_fewer_pairs(spark):
+    rng = np.random.default_rng(5)
+    vectors = vector_frame(spark, enumerate(rng.normal(3.0, 1.0, (4000, 64))), "doc_id")
+    queries = vector_frame(spark, enumerate(rng.normal(3.0, 1.0, (100, 64))), "q_id")
+    near, exact = dense.dense_topk_lsh(queries, vectors, 10), dense.dense_topk(queries, vectors, 10)
+    assert dense.recall(near, exact).first().recall >= 0.8
+    pairs = dense.lsh_pairs(queries, 100, vectors, 64, 16, 8)
+    assert 0 < pairs.count() < 0.5 * 100 * 4000
+    assert pairs.distinct().count() == pairs.count()
+
+
+def test_lsh_gives_k_rows_where_k_vectors_exist(spark):
+    rng = np.random.default_rng(6)
+    vectors = vector_frame(spark, enumerate(rng.normal(size=(30, 16))), "doc_id")
+    queries = vector_frame(spark, [(0, np.full(16, 50.0)), (1, rng.normal(size=16))], "q_id")
+    for k, n in ((25, 25), (40, 30)):
+        assert {r["count"] for r in dense.dense_topk_lsh(queries, vectors, k).groupBy("q_id").count().collect()} == {n}
+    assert dense.dense_topk_lsh(queries.where("false"), vectors, 5).count() == 0
+    assert dense.dense_topk_lsh(queries, vectors.where("false"), 5).count() == 0
+
+
+def test_vectors_without_distances_are_no_neighbours(spark):
+    nan = float("nan")
+    rows = [(0, (1, 0)), (1, (nan, 1)), (2, (1, nan)), (3, None), (4, (1, 2, 3)), (5, (float("inf"), 0)), (6, ()), (7, (0, 0))]
+    vectors = vector_frame(spark, rows, "doc_id")
+    queries = vector_frame(spark, [(0, (1, 0.5)), (1, (nan, 0)), (2, None)], "q_id")
+    for search_fn in (dense.dense_topk, dense.dense_topk_lsh):
+        for metric, ids in (("l2", [0, 7]), ("cosine", [0])):
+            assert [(r.q_id, r.doc_id) for r in search_fn(queries, vectors, 2, metric=metric).orderBy("rank").collect()] == [(0, i) for i in ids]
+
+
+def test_replaced_documents_get_their_own_index(spark, tmp_path):
+    from gleaner.plans import retrieval
+
+    def put(doc_text):
+        spark.createDataFrame([(1, doc_text)], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        return {r.term for r in retrieval.written_index(spark, str(tmp_path)).terms.collect()}
+
+    assert put("old words") == {"old", "words"}
+    assert put("new text") == {"new", "text"}
 
 
 def test_scan_documents(spark, tmp_path):
