@@ -11,9 +11,11 @@ from gleaner.session import write_table
 MONEY = "decimal(15,2)"
 
 
-def as_of(rows: DataFrame, keys: list[str], when: str, tiebreak: str, cutoff: Column, keep: list[str]) -> DataFrame:
-    """Closing state: each key's last row at or before the cutoff."""
-    return latest_rows(rows.where(F.col(when) <= cutoff), keys, [when, tiebreak], keep)
+def balance_as_of(rows: DataFrame, key: str, when: str, tiebreak: str, value: str, cutoff: Column) -> DataFrame:
+    """(key, tiebreak, balance): each key's last row at or before the cutoff and the sum up to it.
+    The cutoff reaches the scan, and both are partial in the map tasks: no window, no sort."""
+    last = F.max_by(tiebreak, F.struct(when, tiebreak)).alias(tiebreak)
+    return rows.where(F.col(when) <= cutoff).groupBy(key).agg(last, F.sum(value).alias("balance"))
 
 
 def period_change(rows: DataFrame, entity: str, when: str, tiebreak: str, value: str) -> DataFrame:
@@ -41,6 +43,13 @@ def current_rows(history: DataFrame) -> DataFrame:
     return history.where(F.col("ended").isNull())
 
 
+def current_states(rows: DataFrame, entity: str, when: str, tiebreak: str, state: str) -> DataFrame:
+    """(entity, tiebreak, effective, state): the current rows of `validity_history`, by one aggregate
+    instead of the whole history."""
+    renamed = rows.select(entity, tiebreak, F.col(when).alias("effective"), F.col(state).alias("state"))
+    return latest_rows(renamed, [entity], ["effective", tiebreak], [tiebreak, "effective", "state"])
+
+
 def age_bucket(days: Column) -> Column:
     return (
         F.when(days <= 0, "0")

@@ -70,6 +70,10 @@ def events_history(t: Tables) -> DataFrame:
     )
 
 
+def events_current(t: Tables) -> DataFrame:
+    return warehouse.current_states(t.events, "user_id", "ts", "event_id", "event_type")
+
+
 def latest_per_entity(spark, folder):
     t = Tables(spark, folder)
     rows = ordered.latest_rows(
@@ -79,9 +83,8 @@ def latest_per_entity(spark, folder):
 
 
 def ledger_as_of(spark, folder):
-    rows = warehouse.as_of(
-        events_ledger(Tables(spark, folder)), ["user_id"], "ts", "event_id", ntz(LEDGER_CUTOFF), ["event_id", "balance"]
-    )
+    postings = signed_events(Tables(spark, folder))
+    rows = warehouse.balance_as_of(postings, "user_id", "ts", "event_id", "amount", ntz(LEDGER_CUTOFF))
     return rows.select("user_id", "event_id", number("balance"))
 
 
@@ -113,7 +116,7 @@ def fanout_safe_join(spark, folder):
 
 
 def scd2_current(spark, folder):
-    rows = warehouse.current_rows(events_history(Tables(spark, folder)))
+    rows = events_current(Tables(spark, folder))
     return rows.select("user_id", "event_id", instant("effective").alias("effective"), "state")
 
 
@@ -135,7 +138,7 @@ def aging_buckets(spark, folder):
 
 def overdue_current(spark, folder):
     """Users whose current state has lasted 30 days or more."""
-    rows = warehouse.current_rows(events_history(Tables(spark, folder)))
+    rows = events_current(Tables(spark, folder))
     days = F.datediff(F.to_date(F.lit(OVERDUE_AS_OF)), F.to_date("effective")).cast("long")
     return rows.withColumn("days_in_state", days).where(F.col("days_in_state") >= 30).select(
         "user_id", "state", "days_in_state"

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import tsql
-from gleaner.operators import conversation, metadata, ordered, refresh, snapshots
+from gleaner.operators import conversation, metadata, ordered, refresh, snapshots, warehouse
 from gleaner.session import new_folder
 from gleaner.sources import sinks
 from gleaner.sources.tables import Tables
@@ -210,3 +210,17 @@ def test_report_files_hold_the_lines_in_order(spark):
     assert "| 0 | " + "q" * 50 + " | 1.0 | 0.5 | +0.5 | — | r |" in lines
     assert "| 6 | " + "q" * 55 + "… | 1.0 | 0.5 | +0.5 | a.md | r |" in lines
     assert "| RAG enabled | **1.00** |" in lines
+
+
+def test_current_states_are_the_current_rows_of_the_history(spark):
+    rows = spark.createDataFrame(
+        [("a", "2024-01-01", 1, "x"), ("a", "2024-01-01", 2, "y"), ("a", None, 9, "z"), ("b", None, 3, None), (None, "2024-01-02", 4, "x")],
+        "who string, at string, id long, state string",
+    )
+    current = warehouse.current_states(rows, "who", "at", "id", "state")
+    assert {tuple(r) for r in current.select("who", "id").collect()} == {("a", 2), ("b", 3), (None, 4)}
+    dated = rows.where("who is not null and at is not null")
+    history = warehouse.validity_history(dated, "who", "at", "id", "state", chunk=F.col("effective"))
+    columns = ["who", "id", "effective", "state"]
+    of_history = warehouse.current_rows(history).select(*columns).collect()
+    assert of_history == warehouse.current_states(dated, "who", "at", "id", "state").select(*columns).collect()
