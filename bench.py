@@ -10,22 +10,15 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from gleaner.plans import QUERIES
 
-HEADLINE = (
-    "index_build bm25_stats bm25_topk tfidf_cosine_topk rrf_fuse rerank_topk hybrid_retrieve citations prompt_build "
-    "dense_topk_l2 dense_topk_lsh tokenize tfidf_vectors "
-    "latest_per_entity ledger_as_of period_over_period fanout_safe_join scd2_current aging_buckets code_lookup "
-    "multi_hop_rolling hub_join_latest unmatched_parents has_child reconcile_parent_child row_identity running_balance "
-    "top_n page_offset_fetch lead_lag share_of_total component_split tsql_date_functions "
-    "split_messages trim_history retrieval_query assemble_messages "
-    "extract_sql draft_identifiers draft_binding validate_drafts score_answers eval_paired eval_trials eval_report "
-    "meta_render_doc catalog_columns column_tables corpus_fingerprint corpus_diff refresh_stream_once query_log"
-).split()
+# The index is built first, so that the searches after it time the search alone.
+HEADLINE = ["index_build", *(name for name in QUERIES if name != "index_build")]
 
 
 def main() -> None:
@@ -40,6 +33,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="gleaner-bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -14,7 +14,13 @@ def eomonth(day: Column, months: int = 0) -> Column:
     return F.last_day(F.add_months(day, months) if months else day)
 
 
+# Seconds of the units below a day.
+SECONDS = {"hour": 3600, "minute": 60, "second": 1}
+
+
 def dateadd(unit: str, number: int, day: Column) -> Column:
+    if unit in SECONDS:
+        return F.timestamp_add(unit, F.lit(number), day)
     if unit == "day":
         return F.date_add(day, number)
     if unit == "week":
@@ -26,6 +32,13 @@ def dateadd(unit: str, number: int, day: Column) -> Column:
 def datediff(unit: str, start: Column, end: Column) -> Column:
     if unit == "day":
         return F.datediff(end, start)
+    if unit == "week":
+        # Weeks begin on Sunday; 1899-12-31 was one.
+        weeks = [F.floor(F.datediff(day, F.to_date(F.lit("1899-12-31"))) / 7) for day in (start, end)]
+        return weeks[1] - weeks[0]
+    if unit in SECONDS:
+        began = [F.floor(F.unix_timestamp(at.cast("timestamp")) / SECONDS[unit]) for at in (start, end)]
+        return began[1] - began[0]
     years = F.year(end) - F.year(start)
     if unit == "year":
         return years

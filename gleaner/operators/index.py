@@ -5,11 +5,12 @@ The index is four tables:
 - `docs`      doc_id, file_name, dl                    one row per document
 - `postings`  bucket, term, doc_id, tf, dl, norm       one row per document and word
 - `terms`     term, df, max_tf, min_dl, max_share      one row per word
-- `corpus`    n_docs, avg_dl, mean_idf                 one row
+- `corpus`    n_docs, avg_dl, mean_idf, buckets        one row
 
-Written postings are partitioned by a hash bucket of the word and range-split
-by (bucket, term, doc_id): a batch of questions reads only the buckets its
-words fall in, and a word that is in every document spreads over many files.
+Written postings are partitioned by a hash bucket of the word, sorted by word, and
+split by size: a batch of questions reads only the buckets its words fall in, and a
+word that is in every document spreads over many files. The number of buckets is
+the builder's choice and kept with the index.
 """
 
 from __future__ import annotations
@@ -32,9 +33,23 @@ class Index:
     terms: DataFrame
     corpus: DataFrame
 
+    def bucket_of(self, term: Column) -> Column:
+        return bucket_of(term, self.corpus.select("buckets").scalar())
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+def bucket_of(term: Column, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(term), buckets).cast("int")
+
+
+def counted_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, dl, term, tf, opens): one row per document and word, of one pass over (doc_id,
+    file_name, text). `opens` holds the file name on the row of a document's first word and is
+    NULL on the others; a document without words has one row, of a NULL term."""
+    words = docs.select("doc_id", "file_name", tokens(F.col("text")).alias("words")).select(
+        "doc_id", "file_name", F.size("words").cast("long").alias("dl"), F.posexplode_outer("words").alias("at", "term")
+    )
+    opens = F.when(F.coalesce("at", F.lit(0)) == 0, F.struct("file_name"))
+    return words.groupBy("doc_id", "dl", "term").agg(F.count("term").alias("tf"), F.max(opens).alias("opens"))
 
 
 def word_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -54,13 +69,6 @@ def doc_lengths(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "file_name", F.size(tokens(F.col("text"))).cast("long").alias("dl"))
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, df) straight from the texts: words are made distinct within each document,
-    so only one count per word and task is shuffled."""
-    words = unnest(docs, F.array_distinct(tokens(F.col("text"))), "term", "doc_id")
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
 def doc_frequencies(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")
@@ -78,8 +86,8 @@ def smooth_idf(df: Column, n_docs: Column) -> Column:
 
 def corpus_stats(lengths: DataFrame, terms: DataFrame) -> DataFrame:
     """One row: n_docs, avg_dl and the mean of the raw idf over all words."""
-    n_docs = lengths.select(F.count(F.lit(1))).scalar()
-    avg_dl = lengths.select(F.sum("dl") / F.count(F.lit(1))).scalar()
+    size = lengths.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.count(F.lit(1))).alias("avg_dl"))
+    n_docs, avg_dl = size.select("n_docs").scalar(), size.select("avg_dl").scalar()
     return terms.agg(F.avg(raw_idf(F.col("df"), n_docs)).alias("mean_idf")).select(
         n_docs.alias("n_docs"), avg_dl.alias("avg_dl"), "mean_idf"
     )
@@ -99,41 +107,47 @@ def plan_index(docs: DataFrame) -> Index:
     """The four tables as lazy plans over (doc_id, file_name, text)."""
     lengths = doc_lengths(docs)
     counts = word_counts(docs)
-    return _assemble(lengths, counts, doc_frequencies(counts))
+    terms, buckets = doc_frequencies(counts), F.lit(BUCKETS)
+    postings = _postings(lengths, counts, terms, buckets)
+    shares = postings.groupBy("term").agg(F.max(F.col("tf") / F.col("norm")).alias("max_share"))
+    corpus = corpus_stats(lengths, terms).withColumn("buckets", buckets)
+    return Index(lengths, postings, terms.join(shares, "term"), corpus)
 
 
-def _assemble(lengths: DataFrame, counts: DataFrame, terms: DataFrame) -> Index:
+def _postings(lengths: DataFrame, counts: DataFrame, terms: DataFrame, buckets: Column) -> DataFrame:
     n_docs = lengths.select(F.count(F.lit(1))).scalar()
     norms = doc_norms(counts, terms, n_docs)
-    postings = counts.join(norms, "doc_id").select(
-        bucket_of(F.col("term")).alias("bucket"), "term", "doc_id", "tf", "dl", "norm"
+    return counts.join(norms, "doc_id").select(
+        bucket_of(F.col("term"), buckets).alias("bucket"), "term", "doc_id", "tf", "dl", "norm"
     )
-    shares = postings.groupBy("term").agg(F.max(F.col("tf") / F.col("norm")).alias("max_share"))
-    return Index(lengths, postings, terms.join(shares, "term"), corpus_stats(lengths, terms))
 
 
-def build_index(docs: DataFrame, path: str) -> int:
-    """Write a full index under a new folder of `path` and make it the current one.
+def build_index(docs: DataFrame, path: str, *, buckets: int = BUCKETS) -> int:
+    """Index (doc_id, file_name, text) under `path`; the number of indexed documents. Texts are read and
+    tokenized once. Postings of some 100 MB a bucket suit a large corpus, hence `buckets`."""
+    return write_index(write_table(counted_words(docs), "counted"), path, buckets=buckets)
+
+
+def write_index(counted: DataFrame, path: str, *, buckets: int = BUCKETS) -> int:
+    """Write a full index of written `counted_words` under a new folder of `path` and make it the current one.
 
     Returns the number of indexed documents. Nothing is replaced before the
     new tables are complete, so a failed build leaves the old index in use.
     """
-    spark = docs.sparkSession
-    if docs.isEmpty():
+    spark = counted.sparkSession
+    home = f"{path}/{new_folder(spark, 'staging').rsplit('/', 1)[1]}"
+    lengths = counted.where("opens is not null").select("doc_id", "opens.file_name", "dl")
+    if lengths.isEmpty():
         raise RuntimeError("No documents to index.")
-    build = new_folder(spark, "staging")
-    home = f"{path}/{build.rsplit('/', 1)[1]}"
-
-    doc_lengths(docs).write.parquet(f"{home}/docs")
+    lengths.write.parquet(f"{home}/docs")
     lengths = spark.read.parquet(f"{home}/docs")
-    word_counts(docs).write.parquet(f"{home}/counts")
-    counts = spark.read.parquet(f"{home}/counts")
-    doc_frequencies(counts).write.parquet(f"{home}/frequencies")
-    frequencies = spark.read.parquet(f"{home}/frequencies")
+    counts = counted.where("term is not null").select("doc_id", "term", "tf", "dl")
+    frequencies = write_table(doc_frequencies(counts), "frequencies")
 
+    # Partitions are split and merged by size at run time; nothing is sampled beforehand.
     (
-        _assemble(lengths, counts, frequencies)
-        .postings.repartitionByRange("bucket", "term", "doc_id")
+        _postings(lengths, counts, frequencies, F.lit(buckets))
+        .hint("rebalance", F.col("bucket"))
         .sortWithinPartitions("bucket", "term", "doc_id")
         .write.partitionBy("bucket")
         .parquet(f"{home}/postings")
@@ -144,11 +158,9 @@ def build_index(docs: DataFrame, path: str) -> int:
         .agg(F.max(F.col("tf") / F.col("norm")).alias("max_share"))
     )
     frequencies.join(shares, "term").write.parquet(f"{home}/terms")
-    corpus_stats(lengths, frequencies).write.parquet(f"{home}/corpus")
+    corpus_stats(lengths, frequencies).withColumn("buckets", F.lit(buckets)).write.parquet(f"{home}/corpus")
 
     chunks = lengths.count()
-    if chunks == 0:
-        raise RuntimeError("The index was built but holds no documents.")
     spark.range(1).select(
         F.lit(home).alias("home"), F.current_timestamp().alias("built_at"), F.lit(chunks).alias("chunks")
     ).write.mode("append").parquet(f"{path}/builds")

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import index, refresh, snapshots
+from gleaner.operators import index, refresh, search, snapshots
+from gleaner.plans import retrieval
 from gleaner.plans.fixtures import answers
 from gleaner.plans.retrieval import build_index
 from gleaner.session import new_folder
 from gleaner.sources import sinks
-from gleaner.sources.tables import Tables, named_documents
+from gleaner.sources.tables import Tables, benchmark_questions, named_documents
 from gleaner.streaming import refresh as stream
 
 
@@ -102,6 +103,12 @@ def refresh_stream_once(spark, folder):
     )
 
 
+def stream_search(spark, folder):
+    """BM25 over the index of what the stream left live."""
+    live = stream.live_index(spark, _streamed(spark, folder))
+    return retrieval.ranked(search.bm25_topk(benchmark_questions(Tables(spark, folder).benchmark), live))
+
+
 def refresh_log(spark, folder):
     log = spark.read.json(f"{_streamed(spark, folder)}/log")
     return log.select(F.col("batch").cast("long").alias("batch"), "action", "docs_changed", "docs_removed", "tables_found")
@@ -184,7 +191,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_fingerprint, corpus_diff, refresh_decision, refresh_idempotent, refresh_state, refresh_stream_once,
-        refresh_log, index_build, index_guard, query_log, question_set,
+        stream_search, refresh_log, index_build, index_guard, query_log, question_set,
     )
 }
 
@@ -215,6 +222,9 @@ ORACLES = {
     "refresh_state": f"WITH {_DOCS} SELECT '' AS before, true AS is_current, count(*) AS n_docs FROM docs",
     "refresh_stream_once": _SNAPSHOTS + f""" SELECT doc_id, (CASE WHEN change IS NULL THEN 1 ELSE 2 END)::BIGINT AS version, sha,
         len(list_distinct({_WORDS})) AS n_terms, len({_WORDS}) AS n_tokens FROM new LEFT JOIN diff USING (doc_id)""",
+    "stream_search": "WITH all_" + _DOCS + """, docs AS (
+          SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' edited' ELSE text END AS text FROM all_docs WHERE doc_id % 7 <> 0
+        )""" + retrieval.INDEX_OF_DOCS + retrieval.asked_sql() + retrieval.BM25 + retrieval.TOP + "bm25_top",
     "refresh_log": _SNAPSHOTS + """ SELECT 0::BIGINT AS batch, 'reindexed' AS action, count(*) AS docs_changed, 0::BIGINT AS docs_removed, count(*) AS tables_found FROM old
         UNION ALL SELECT 1::BIGINT, 'reindexed', count(*) FILTER (WHERE change <> 'removed'), count(*) FILTER (WHERE change = 'removed'),
           (SELECT count(*) FROM new) FROM diff""",

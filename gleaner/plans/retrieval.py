@@ -43,7 +43,7 @@ def build_index(spark: SparkSession, folder: str) -> tuple[index.Index, int]:
     return index.read_index(spark, path), chunks
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
+def ranked(rows: DataFrame) -> DataFrame:
     return rows.select("q_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -61,8 +61,9 @@ def tokenize(spark, folder):
 
 def bm25_stats(spark, folder):
     _, docs = _inputs(spark, folder)
-    terms = write_table(index.document_frequencies(docs), "terms")
-    stats = index.corpus_stats(index.doc_lengths(docs), terms)
+    counted = write_table(index.counted_words(docs), "counted")
+    terms = write_table(index.doc_frequencies(counted.where("term is not null")), "terms")
+    stats = write_table(index.corpus_stats(counted.where("opens is not null"), terms), "stats")
     n_docs, avg_dl, mean_idf = (stats.select(c).scalar() for c in ("n_docs", "avg_dl", "mean_idf"))
     return terms.select(
         "term",
@@ -75,12 +76,12 @@ def bm25_stats(spark, folder):
 
 def bm25_topk(spark, folder):
     questions, docs = _inputs(spark, folder)
-    return _ranked(search.bm25_topk(questions, written_index(spark, folder)))
+    return ranked(search.bm25_topk(questions, written_index(spark, folder)))
 
 
 def tfidf_cosine_topk(spark, folder):
     questions, docs = _inputs(spark, folder)
-    return _ranked(search.tfidf_topk(questions, written_index(spark, folder)))
+    return ranked(search.tfidf_topk(questions, written_index(spark, folder)))
 
 
 def tfidf_vectors(spark, folder):
@@ -96,25 +97,25 @@ def _lists(spark, folder):
 
 def rrf_fuse(spark, folder):
     *_, vectors, words = _lists(spark, folder)
-    return _ranked(fusion.rrf_fuse(vectors, words))
+    return ranked(fusion.rrf_fuse(vectors, words))
 
 
 def rrf_dense_only(spark, folder):
     """Fusion with an empty second list keeps the first list's order."""
     questions, docs = _inputs(spark, folder)
     vectors = search.tfidf_topk(questions, written_index(spark, folder))
-    return _ranked(fusion.rrf_fuse(vectors, vectors.where(F.lit(False))))
+    return ranked(fusion.rrf_fuse(vectors, vectors.where(F.lit(False))))
 
 
 def rerank_topk(spark, folder):
     questions, idx, vectors, words = _lists(spark, folder)
     fused = write_table(fusion.rrf_fuse(vectors, words), "candidates")
-    return _ranked(fusion.rerank(fused, fusion.word_overlap(fused, questions, idx)))
+    return ranked(fusion.rerank(fused, fusion.word_overlap(fused, questions, idx)))
 
 
 def rerank_fallback(spark, folder):
     *_, vectors, words = _lists(spark, folder)
-    return _ranked(fusion.rerank(fusion.rrf_fuse(vectors, words), None))
+    return ranked(fusion.rerank(fusion.rrf_fuse(vectors, words), None))
 
 
 def _best(spark, folder):
@@ -146,6 +147,17 @@ def prompt_build(spark, folder):
     return prompts.select("q_id", F.length("content").cast("long").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
+def recall_at_k(spark, folder):
+    """How many questions have a document among their best five that quotes them whole, and their share."""
+    questions, docs, best = _best(spark, folder)
+    quoted = F.contains(F.lower("text"), F.lower("question"))
+    found = best.select("q_id", "doc_id").join(docs, "doc_id").join(questions, "q_id").where(quoted).select("q_id").distinct()
+    marked = questions.select("q_id").join(found.withColumn("found", F.lit(1)), "q_id", "left")
+    return marked.agg(F.count(F.lit(1)).alias("n_questions"), F.count("found").alias("n_found")).withColumn(
+        "recall", F.round(F.try_divide("n_found", "n_questions"), 6)
+    )
+
+
 def _dense(spark, folder, search_fn, **options):
     corpus = vector_corpus(Tables(spark, folder).embeddings)
     asked = dense.label_means(corpus).select(F.col("label").cast("long").alias("q_id"), "vector")
@@ -168,7 +180,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_scan, tokenize, bm25_stats, bm25_topk, tfidf_cosine_topk, tfidf_vectors, rrf_fuse, rrf_dense_only,
-        rerank_topk, rerank_fallback, hybrid_retrieve, citations, context_block, prompt_build,
+        rerank_topk, rerank_fallback, hybrid_retrieve, citations, context_block, prompt_build, recall_at_k,
         dense_topk_l2, dense_topk_cosine, dense_topk_lsh,
     )
 }
@@ -177,7 +189,7 @@ _DOCS = """docs AS (
   SELECT doc_id, 'doc_' || doc_id || '.md' AS file_name, text, source FROM documents
   WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0
 )"""
-_INDEX = _DOCS + """, doc_words AS (
+INDEX_OF_DOCS = """, doc_words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS words FROM docs
 ), lengths AS (SELECT doc_id, len(words) AS dl FROM doc_words),
 counts AS (
@@ -187,17 +199,24 @@ totals AS (SELECT count(*) AS n, sum(dl) / count(*) AS avg_dl FROM lengths),
 raw_idf AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw, ln((n + 1.0) / (df + 1.0)) + 1 AS smooth FROM freq, totals),
 mean AS (SELECT avg(raw) AS mean_idf FROM raw_idf),
 idf AS (SELECT term, df, smooth, CASE WHEN raw < 0 THEN 0.25 * mean_idf ELSE raw END AS idf FROM raw_idf, mean)"""
+_INDEX = _DOCS + INDEX_OF_DOCS
 _VECTORS = """, norms AS (
   SELECT doc_id, sqrt(sum((tf * smooth) * (tf * smooth))) AS norm FROM counts JOIN idf USING (term) GROUP BY doc_id
 ), vectors AS (
   SELECT doc_id, term, tf * smooth / norm AS weight FROM counts JOIN idf USING (term) JOIN norms USING (doc_id)
 )"""
-_ASKED = """, asked AS (
+
+
+def asked_sql(questions: str = "(SELECT item_id AS q_id, text AS question FROM benchmark)") -> str:
+    return f""", asked AS (
   SELECT q_id, term, count(*) AS qtf FROM (
-    SELECT item_id AS q_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM benchmark
+    SELECT q_id, unnest(regexp_extract_all(lower(question), '[a-z0-9_]+')) AS term FROM {questions}
   ) GROUP BY ALL
 )"""
-_BM25 = """, bm25 AS (
+
+
+_ASKED = asked_sql()
+BM25 = """, bm25 AS (
   SELECT q_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_dl))), 6) AS score
   FROM asked JOIN idf USING (term) JOIN counts USING (term) JOIN lengths USING (doc_id), totals GROUP BY ALL
 ), bm25_top AS (
@@ -235,12 +254,21 @@ _BEST = """, shared_words AS (
     SELECT q_id, doc_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, fused_rank) AS rank FROM shared_words
   ) WHERE rank <= 5
 )"""
-_ALL = "WITH " + _INDEX + _VECTORS + _ASKED + _BM25 + _COSINE + _FUSED + _BEST
-_CONTEXT = _ALL + """, blocks AS (
+_RETRIEVED = BM25 + _COSINE + _FUSED + _BEST
+_ALL = "WITH " + _INDEX + _VECTORS + _ASKED + _RETRIEVED
+_BLOCKS = """, blocks AS (
   SELECT q_id, chr(10) || chr(10) || '## Schema Context' || chr(10) || chr(10) ||
     string_agg('[Source: ' || file_name || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
   FROM best JOIN docs USING (doc_id) GROUP BY q_id
 )"""
+_CONTEXT = _ALL + _BLOCKS
+
+
+def context_sql(questions: str) -> str:
+    """The CTEs up to `blocks` (q_id, context) for another table of (q_id, question)."""
+    return _INDEX + _VECTORS + asked_sql(questions) + _RETRIEVED + _BLOCKS
+
+
 _MEANS = """WITH means AS (
   SELECT label, pos, avg(value) AS value FROM (
     SELECT label, unnest(range(1, len(embedding) + 1)) AS pos, unnest(embedding::DOUBLE[]) AS value FROM embeddings
@@ -293,20 +321,20 @@ SELECT q_id, doc_id, distance, rank FROM (
   )
 ) WHERE rank <= 20"""
 
-_TOP = " SELECT q_id, doc_id, rank, round(score, 6) AS score FROM "
+TOP = " SELECT q_id, doc_id, rank, round(score, 6) AS score FROM "
 ORACLES = {
     "corpus_scan": f"WITH {_DOCS} SELECT doc_id, file_name, length(text) AS n_chars, md5(text) AS text_md5 FROM docs",
     "tokenize": """SELECT doc_id, len(words) AS n_tokens, md5(array_to_string(words, ' ')) AS tokens_md5
         FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS words FROM documents)""",
     "bm25_stats": f"""WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf, n AS n_docs, round(avg_dl, 6) AS avg_dl
         FROM idf, totals""",
-    "bm25_topk": "WITH " + _INDEX + _ASKED + _BM25 + _TOP + "bm25_top",
+    "bm25_topk": "WITH " + _INDEX + _ASKED + BM25 + TOP + "bm25_top",
     "tfidf_vectors": "WITH " + _INDEX + _VECTORS + " SELECT doc_id, term, round(weight, 6) AS weight FROM vectors",
-    "tfidf_cosine_topk": "WITH " + _INDEX + _VECTORS + _ASKED + _COSINE + _TOP + "cosine_top",
-    "rrf_fuse": _ALL + _TOP + "fused",
+    "tfidf_cosine_topk": "WITH " + _INDEX + _VECTORS + _ASKED + _COSINE + TOP + "cosine_top",
+    "rrf_fuse": _ALL + TOP + "fused",
     "rrf_dense_only": _ALL + " SELECT q_id, doc_id, rank, round(1.0 / (60 + rank), 6) AS score FROM cosine_top",
-    "rerank_topk": _ALL + _TOP + "best",
-    "rerank_fallback": _ALL + _TOP + "fused WHERE rank <= 5",
+    "rerank_topk": _ALL + TOP + "best",
+    "rerank_fallback": _ALL + TOP + "fused WHERE rank <= 5",
     "hybrid_retrieve": _ALL + " SELECT q_id, rank, doc_id, file_name, score FROM best JOIN docs USING (doc_id)",
     "citations": _ALL + """ SELECT q_id, string_agg(source, ', ' ORDER BY first_rank) AS citations FROM (
         SELECT q_id, source, min(rank) AS first_rank FROM best JOIN docs USING (doc_id) GROUP BY ALL) GROUP BY q_id""",
@@ -314,6 +342,10 @@ ORACLES = {
     "prompt_build": _CONTEXT + """ SELECT q_id, length(content) AS n_chars, md5(content) AS content_md5 FROM (
         SELECT item_id AS q_id, regexp_replace(coalesce(context, '') || chr(10) || chr(10) || '## Question' || chr(10) || text,
           '^\\s+|\\s+$', '', 'g') AS content FROM benchmark LEFT JOIN blocks ON q_id = item_id)""",
+    "recall_at_k": _ALL + """ SELECT count(*) AS n_questions, count(found) AS n_found, round(count(found) / count(*), 6) AS recall
+        FROM benchmark LEFT JOIN (
+          SELECT DISTINCT q_id, 1 AS found FROM best JOIN docs USING (doc_id) JOIN benchmark b ON b.item_id = q_id
+          WHERE contains(lower(docs.text), lower(b.text))) ON q_id = item_id""",
     "dense_topk_l2": _MEANS.format(
         distance="round(list_sum(list_transform(range(1, len(q) + 1), lambda i: (q[i] - v[i]) * (q[i] - v[i]))), 6)"
     ),

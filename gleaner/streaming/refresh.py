@@ -6,13 +6,15 @@ takes the latest version per document, drops those older than what is known
 (deletions included), and writes the rest:
 
 - `changes/batch=N`    doc_id, version, file_name, sha, deleted, effect, posted
-- `postings/batch=N`   doc_id, term, tf, dl of changed documents
+- `postings/batch=N`   the counted words of changed documents
 - `log/batch=N`        action and counts, as JSON
 
 The live corpus is the newest change per document; its postings are those of
 batch `posted`, the last that changed its text. `effect` is NULL where only the
 version moved on, so that a late older version is still told. A batch repeated after a crash overwrites its own
 folders, so nothing is counted twice. Text is tokenized only when it changed.
+`live_index` makes the live corpus searchable without reading any text, and
+`compact` carries only what is live over to a new folder.
 """
 
 from __future__ import annotations
@@ -21,14 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gleaner.operators.index import word_counts
+from gleaner.operators.index import BUCKETS, Index, counted_words, read_index, write_index
 from gleaner.operators.ordered import latest_rows
 from gleaner.operators.snapshots import document_hash
-from gleaner.session import read_if_there
+from gleaner.session import read_if_there, write_table
 
 VERSIONS = "doc_id long, version long, file_name string, text string, deleted boolean"
 CHANGES = "doc_id long, version long, file_name string, sha string, deleted boolean, effect string, posted long, batch long"
-POSTINGS = "doc_id long, term string, tf long, dl long, batch long"
+POSTINGS = "doc_id long, dl long, term string, tf long, opens struct<file_name: string>, batch long"
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -51,9 +53,28 @@ def live_documents(spark: SparkSession, home: str, *, before: int | None = None)
     return newest_changes(spark, home, before=before).where(~F.col("deleted")).drop("deleted")
 
 
-def live_postings(spark: SparkSession, home: str) -> DataFrame:
+def _live_words(spark: SparkSession, home: str) -> DataFrame:
     live = live_documents(spark, home).select("doc_id", F.col("posted").alias("batch"))
-    return _read(spark, f"{home}/postings", POSTINGS).join(live, ["doc_id", "batch"], "left_semi").drop("batch")
+    return _read(spark, f"{home}/postings", POSTINGS).join(live, ["doc_id", "batch"], "left_semi")
+
+
+def live_postings(spark: SparkSession, home: str) -> DataFrame:
+    return _live_words(spark, home).where("term is not null").select("doc_id", "term", "tf", "dl")
+
+
+def live_index(spark: SparkSession, home: str, *, buckets: int = BUCKETS) -> Index:
+    """The live corpus as a searchable index, made of the posted words alone: the same tables
+    as a full build over the live documents."""
+    write_index(write_table(_live_words(spark, home).drop("batch"), "live"), f"{home}/search", buckets=buckets)
+    return read_index(spark, f"{home}/search")
+
+
+def compact(spark: SparkSession, home: str, target: str) -> None:
+    """Write the newest change of each document and the live postings to the new folder `target`,
+    with the batches they came from. Stop the stream first and go on with
+    `refresh_stream(spark, source, target, checkpoint=f"{home}/checkpoint")`."""
+    for name, rows in (("postings", _live_words(spark, home)), ("changes", newest_changes(spark, home))):
+        rows.hint("rebalance").write.partitionBy("batch").parquet(f"{target}/{name}")
 
 
 def apply_versions(versions: DataFrame, batch: int, home: str) -> None:
@@ -80,7 +101,7 @@ def apply_versions(versions: DataFrame, batch: int, home: str) -> None:
         f"{home}/arrived/batch={batch}"
     )
     written = spark.read.parquet(f"{home}/arrived/batch={batch}")
-    word_counts(written.where("effect = 'changed'")).write.mode("overwrite").parquet(f"{home}/postings/batch={batch}")
+    counted_words(written.where("effect = 'changed'")).write.mode("overwrite").parquet(f"{home}/postings/batch={batch}")
     # The changes go last: until they are there, the batch is not part of the live corpus.
     written.drop("text").write.mode("overwrite").parquet(f"{home}/changes/batch={batch}")
     tally = written.agg(
@@ -95,12 +116,13 @@ def apply_versions(versions: DataFrame, batch: int, home: str) -> None:
 
 
 def refresh_stream(
-    spark: SparkSession, source: str, home: str, *, every: str | None = None, files_per_batch: int = 1000
+    spark: SparkSession, source: str, home: str, *, every: str | None = None, files_per_batch: int = 1000, checkpoint: str | None = None
 ) -> StreamingQuery:
-    """Follow a folder of version files: all that is there, once, or `every` interval."""
+    """Follow a folder of version files: all that is there, once, or `every` interval. The
+    stream's progress is kept in `checkpoint`, by default a folder of `home`."""
     reader = spark.readStream.schema(VERSIONS).option("maxFilesPerTrigger", files_per_batch)
     versions = reader.parquet(source)
-    writer = versions.writeStream.option("checkpointLocation", f"{home}/checkpoint").foreachBatch(
+    writer = versions.writeStream.option("checkpointLocation", checkpoint or f"{home}/checkpoint").foreachBatch(
         lambda rows, batch: apply_versions(rows, batch, home)
     )
     trigger = {"processingTime": every} if every else {"availableNow": True}

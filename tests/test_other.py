@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import tsql
-from gleaner.operators import conversation, metadata, ordered, refresh, snapshots, warehouse
+from gleaner.operators import conversation, index, metadata, ordered, refresh, snapshots, warehouse
 from gleaner.session import new_folder
 from gleaner.sources import sinks
 from gleaner.sources.tables import Tables
@@ -76,6 +76,14 @@ def test_datediff_counts_boundaries(spark):
     a, b = F.lit(datetime.date(2023, 12, 31)), F.lit(datetime.date(2024, 1, 1))
     row = spark.range(1).select(*(tsql.datediff(u, a, b).alias(u) for u in ("year", "quarter", "month", "day"))).first()
     assert tuple(row) == (1, 1, 1, 1)
+    # A Sunday begins a week; an hour is crossed within a minute.
+    weeks = spark.range(1).select(tsql.datediff("week", a, b), tsql.datediff("week", F.lit(datetime.date(2023, 12, 30)), a)).first()
+    assert tuple(weeks) == (0, 1)
+    late, early = (F.to_timestamp(F.lit(f"2024-01-01 {t}")) for t in ("09:59:59", "10:00:01"))
+    units = ("hour", "minute", "second")
+    assert tuple(spark.range(1).select(*(tsql.datediff(u, late, early) for u in units)).first()) == (1, 1, 2)
+    moved = spark.range(1).select(*(F.date_format(tsql.dateadd(u, -2, early), "HH:mm:ss") for u in units)).first()
+    assert tuple(moved) == ("08:00:01", "09:58:01", "09:59:59")
 
 
 DOCUMENT = """# TABLE: codes
@@ -142,6 +150,25 @@ def test_late_versions_are_told_by_all_that_came_before(spark):
     assert {(r.doc_id, r.term) for r in stream.live_postings(spark, home).collect()} == {(1, "back"), (2, "two")}
 
 
+def test_live_index_is_a_full_build_and_outlives_compaction(spark):
+    home, target = new_folder(spark, "stream"), new_folder(spark, "compact")
+    versions = lambda *rows: spark.createDataFrame(rows, stream.VERSIONS)
+    stream.apply_versions(versions((1, 1, "a", "x y", False), (2, 1, "b", "z", False), (3, 1, "c", "...", False)), 0, home)
+    stream.apply_versions(versions((1, 2, "a", "x w w", False), (2, 2, "b", None, True)), 1, home)
+    docs = spark.createDataFrame([(1, "a", "x w w"), (3, "c", "...")], "doc_id long, file_name string, text string")
+    path = new_folder(spark, "full")
+    assert index.build_index(docs, path, buckets=3) == 2
+    full = index.read_index(spark, path)
+    stream.compact(spark, home, target)
+    for live in (stream.live_index(spark, home, buckets=3), stream.live_index(spark, target, buckets=3)):
+        for name in ("docs", "postings", "terms", "corpus"):
+            one, other = getattr(live, name), getattr(full, name)
+            assert sorted(map(str, one.select(*other.columns).collect())) == sorted(map(str, other.collect())), name
+    # The deletion is still known: its late older version is skipped.
+    stream.apply_versions(versions((2, 1, "b", "z", False), (4, 1, "d", "v", False)), 2, target)
+    assert {r.doc_id for r in stream.live_documents(spark, target).collect()} == {1, 3, 4}
+
+
 def test_repeated_stream_batch_changes_nothing(spark):
     home = new_folder(spark, "stream")
     versions = lambda *rows: spark.createDataFrame(rows, stream.VERSIONS)
@@ -180,9 +207,9 @@ def test_results_do_not_depend_on_the_number_of_partitions(spark, folder):
 
 
 def test_no_cross_join_in_registered_plans(spark, folder):
-    from gleaner.plans import conversation, drafts, warehouse
+    from gleaner.plans import conversation, drafts, metadata, warehouse
 
-    for module in (warehouse, conversation, drafts):
+    for module in (warehouse, conversation, drafts, metadata):
         for name, query in module.QUERIES.items():
             plan = query(spark, folder)._jdf.queryExecution().executedPlan().toString()
             assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
