@@ -2,7 +2,8 @@
 
 Equal vectors are one node. Nodes are dealt to shards by hash; one task builds a shard's graph
 from a bounded number of vectors. Every node queries every shard in bounded blocks. A block's
-beam is widened until an audit against brute force over the shard reaches its recall, and a
+beam is widened until an audit against brute force over the shard reaches its mean recall per
+query, apart for queries of few and of many links; a block of too few such is answered by brute force. A
 query whose whole beam is linked goes on with a wider one, so no number of links is a cap.
 Cosines of what is found are verified in double precision; components join the links.
 """
@@ -173,23 +174,48 @@ class Graph:
         return ids, sims
 
 
-def linked(graph: Graph, asked: np.ndarray, least: float) -> list[np.ndarray]:
-    """For each query the ids found with a cosine of about `least` or more. All beams double until an
-    audit of AUDITED queries against brute force passes; single ones until they reach beyond their links."""
-    n = len(graph.x)
-    low = least - 1e-4
-    audit = np.random.default_rng(len(asked)).permutation(len(asked))[:AUDITED]
-    # Queries with a known link are worth more in an audit than such that have none.
-    truth = [np.flatnonzero(row >= low) for row in asked[audit] @ graph.x.T]
-    beam = min(BEAM, n)
-    while beam < n:
-        got = _found(graph, asked[audit], beam, low)
-        if sum(len(np.intersect1d(a, b)) for a, b in zip(got, truth)) >= RECALL * sum(map(len, truth)):
+def linked(graph: Graph, asked: np.ndarray, least: float, own: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each query the ids found with a cosine of about `least` or more; `own` are the queries' places in
+    the graph, -1 outside. Queries are drawn for an audit against brute force until AUDITED have some links,
+    besides themselves, that a beam can hold: all beams double until the audit passes. Where a block has fewer
+    such queries, brute force has looked at all of it and is the answer. Single beams widen until they reach
+    beyond their links."""
+    n, low = len(graph.x), least - 1e-4
+    own = np.full(len(asked), -1) if own is None else own
+    drawn = np.random.default_rng(len(asked)).permutation(len(asked))
+    truth: dict[int, np.ndarray] = {}
+    few: list[int] = []
+    many: list[int] = []
+    step = max(1, min(BATCH, 16_000_000 // n))
+    for start in range(0, len(drawn), step):
+        some = drawn[start : start + step]
+        near = asked[some] @ graph.x.T >= low
+        for i, row in zip(some, near):
+            truth[i] = np.flatnonzero(row).astype(np.int32)
+            others = len(truth[i]) - (own[i] >= 0 and bool(row[own[i]]))
+            if others:
+                (few if others < BEAM else many).append(i)
+        if len(few) >= AUDITED:
             break
+    if len(truth) == len(asked):
+        return [truth[i] for i in range(len(asked))]
+    # Each on its own: links of a dense group, or its many queries, must not outweigh those of small groups.
+    audits = [np.array(x[:AUDITED]) for x in (few, many) if x]
+    beam = min(BEAM, n)
+    while beam < n and not all(_recall(graph, asked, own, at, truth, beam, low) >= RECALL for at in audits):
         beam = min(2 * beam, n)
     return _found(graph, asked, beam, low)
 
 
+def _recall(graph: Graph, asked: np.ndarray, own: np.ndarray, at: np.ndarray, truth: dict[int, np.ndarray], beam: int, low: float) -> float:
+    """The mean over queries of the share of their links, without themselves, that a beam finds."""
+    shares = []
+    for i, got in zip(at, _found(graph, asked[at], beam, low)):
+        links_of = truth[i][truth[i] != own[i]]
+        shares.append(np.isin(links_of, got).mean())
+    return float(np.mean(shares))
+
+
 def _found(graph: Graph, asked: np.ndarray, beam: int, low: float) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(asked)
     todo, n = np.arange(len(asked)), len(graph.x)
@@ -224,7 +250,10 @@ def _pairs(least: float):
             graph.__dict__.update(parts)
             asked, own = np.stack(rows["vector"].to_numpy()), rows["node"].to_numpy()
             exact = unit(asked)
-            for i, found in enumerate(linked(graph, exact.astype(np.float32), least)):
+            by = np.argsort(nodes)
+            at = by[np.minimum(np.searchsorted(nodes, own, sorter=by), len(nodes) - 1)]
+            places = np.where(nodes[at] == own, at, -1)
+            for i, found in enumerate(linked(graph, exact.astype(np.float32), least, places)):
                 found = found[nodes[found] != own[i]]
                 if len(found):
                     found = found[unit(vectors[found]) @ exact[i] >= least]

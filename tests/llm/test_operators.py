@@ -286,6 +286,18 @@ def test_a_dense_group_beyond_the_beam(spark):
     assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in got)
 
 
+def test_rare_links_to_another_shard_are_audited(monkeypatch):
+    """64 queries drawn at random have no link here: an audit of nothing must not pass."""
+    monkeypatch.setattr(hnsw, "BEAM", 1)
+    rng = np.random.default_rng(1)
+    x = np.concatenate((hnsw.unit(rng.normal(size=(1200, 200))), hnsw.unit(1 + 0.1 * rng.normal(size=(300, 200))))).astype(np.float32)
+    near = hnsw.unit(x[:30] + 0.42 * hnsw.unit(rng.normal(size=(30, 200))))
+    asked = np.concatenate((near, hnsw.unit(rng.normal(size=(1800, 200))))).astype(np.float32)
+    want = [np.flatnonzero(row >= 0.9) for row in asked @ x.T]
+    got = hnsw.linked(hnsw.Graph(x), asked, 0.9)
+    assert sum(map(len, want)) == 30 and all(np.isin(b, a).all() for a, b in zip(got, want))
+
+
 # op5
 
 
