@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gleaner.llm import decontam, hnsw, langid, linedup, mixing, quality, simhash, substring, toxicity, urls
+from gleaner.llm import decontam, hnsw, langid, linedup, mixing, prefix_trie, quality, simhash, substring, toxicity, urls
 from gleaner.sources.tables import Tables
 
 
@@ -52,12 +52,18 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.op10_urls(Tables(spark, folder).pages)
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.op13_prefix_trie(Tables(spark, folder).conversations)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_quality, op3_substring, op4_embeddings, op5_mixing, op6_toxicity, op7_decontamination,
-        op8_language, op9_line_dedup, op10_urls,
+        op8_language, op9_line_dedup, op10_urls, op13_prefix_trie,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES = {"op5_mixing": mixing.SQL, "op7_decontamination": decontam.SQL, "op9_line_dedup": linedup.SQL}
+ORACLES = {
+    "op5_mixing": mixing.SQL, "op7_decontamination": decontam.SQL, "op9_line_dedup": linedup.SQL, "op13_prefix_trie": prefix_trie.SQL,
+}
