@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from gleaner.llm import decontam, hnsw, langid, linedup, mixing, prefix_trie, quality, repair, simhash, substring, toxicity, urls
+from gleaner.llm import decontam, hnsw, langid, linedup, mixing, order_minhash, prefix_trie, quality, repair, simhash, substring, toxicity, urls
 from gleaner.sources.tables import Tables
 
 
@@ -52,6 +52,10 @@ def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.op10_urls(Tables(spark, folder).pages)
 
 
+def op11_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.op11_order_minhash(Tables(spark, folder).documents)
+
+
 def op12_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.op12_structure_repair(Tables(spark, folder).conversations)
 
@@ -64,7 +68,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_quality, op3_substring, op4_embeddings, op5_mixing, op6_toxicity, op7_decontamination,
-        op8_language, op9_line_dedup, op10_urls, op12_structure_repair, op13_prefix_trie,
+        op8_language, op9_line_dedup, op10_urls, op11_order_minhash, op12_structure_repair, op13_prefix_trie,
     )
 }
 QUERIES["pipeline"] = corpus_pipeline.run
