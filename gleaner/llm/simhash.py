@@ -23,7 +23,6 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import jaccard
 from gleaner.llm.common import components, text_digest
 from gleaner.session import broadcast_if_small, write_table
 
@@ -153,13 +152,14 @@ def op1_simhash(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(documents: DataFrame, shingle: int = jaccard.SHINGLE, least: tuple[int, int] = jaccard.LEAST) -> DataFrame:
-    """The documents' own columns, one row of each group of near copies: that of the smallest (doc_id, digest), NULL ids last.
-
-    Near copies are what links of an exact Jaccard similarity of `least` or more connect: two bits
-    of a fingerprint miss most texts of similarity 0.8.
-    """
-    kept = jaccard.representatives(documents, shingle, least)
+def keep_one(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The documents' own columns, one row of each group that links of `threshold` bits connect: that of the smallest
+    (doc_id, digest), NULL ids last. Repeated rows are one document."""
+    found = near_duplicates(documents, threshold)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    # By root, not component_id: groups of one repeated doc_id share that.
+    best = found.groupBy("root").agg(F.min(rank).alias("best"))
+    kept = write_table(best.select(F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_digest")).distinct(), "kept")
     kept = broadcast_if_small(kept, kept.count())
     marked = documents.withColumn("_print", text_digest(F.col("text")))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_digest"))
