@@ -24,7 +24,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    """Keeps the document of smallest doc_id of each SimHash group: 3-word shingles, fingerprints within 2 bits."""
     return simhash.keep_one(docs)
 
 
