@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import tokens
-from gleaner.operators import assembly, dense, fusion, index, search, snapshots
+from gleaner.operators import assembly, dense, fusion, index, inverted_lists, search, snapshots
 from gleaner.session import new_folder, write_table
 from gleaner.sources.tables import Tables, benchmark_questions, named_documents, vector_corpus
 
@@ -176,12 +176,63 @@ def dense_topk_lsh(spark, folder):
     return _dense(spark, folder, dense.dense_topk_lsh)
 
 
+_lists_of: dict[tuple, str] = {}
+
+
+def _every_twentieth(spark, folder):
+    corpus = vector_corpus(Tables(spark, folder).embeddings)
+    return corpus, corpus.where("doc_id % 20 = 0").select(F.col("doc_id").alias("q_id"), "vector")
+
+
+def _content_of(spark, corpus) -> tuple:
+    return spark.sparkContext.applicationId, *corpus.agg(F.count(F.lit(1)), F.sum(F.xxhash64("doc_id", "vector").cast("decimal(20,0)"))).first()
+
+
+def _new_lists(spark, corpus) -> inverted_lists.Lists:
+    path = new_folder(spark, "inverted")
+    inverted_lists.build_lists(corpus, path)
+    _lists_of[_content_of(spark, corpus)] = path
+    return inverted_lists.read_lists(spark, path)
+
+
+def _written_lists(spark, corpus) -> inverted_lists.Lists:
+    """The vectors are filed once per session and content, then only searched."""
+    path = _lists_of.get(_content_of(spark, corpus))
+    return inverted_lists.read_lists(spark, path) if path else _new_lists(spark, corpus)
+
+
+def inverted_lists_build(spark, folder):
+    """The lists of a new index with their sizes, and how many of them a question probes."""
+    built = _new_lists(spark, vector_corpus(Tables(spark, folder).embeddings))
+    return built.lists.groupBy("list").agg(F.count(F.lit(1)).alias("n_rows"), F.min("doc_id").alias("first_id")).withColumn("probes", F.lit(built.probes))
+
+
+def dense_neighbours(spark, folder):
+    """Exact neighbours of every twentieth vector."""
+    corpus, asked = _every_twentieth(spark, folder)
+    return dense.dense_topk(asked, corpus)
+
+
+def dense_neighbours_lists(spark, folder):
+    """The same questions answered from inverted lists."""
+    corpus, asked = _every_twentieth(spark, folder)
+    return inverted_lists.search_lists(asked, _written_lists(spark, corpus))
+
+
+def inverted_lists_recall(spark, folder):
+    """One row: how many of the exact neighbours of every twentieth vector the lists give."""
+    exact, found = (write_table(f(spark, folder), "neighbours") for f in (dense_neighbours, dense_neighbours_lists))
+    hits = exact.join(found.select("q_id", "doc_id", F.lit(1).alias("hit")), ["q_id", "doc_id"], "left")
+    return hits.agg(F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found")).withColumn("recall", F.round(F.try_divide("n_found", "n_exact"), 6))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         corpus_scan, tokenize, bm25_stats, bm25_topk, tfidf_cosine_topk, tfidf_vectors, rrf_fuse, rrf_dense_only,
         rerank_topk, rerank_fallback, hybrid_retrieve, citations, context_block, prompt_build, recall_at_k,
         dense_topk_l2, dense_topk_cosine, dense_topk_lsh,
+        inverted_lists_build, dense_neighbours, dense_neighbours_lists, inverted_lists_recall,
     )
 }
 
@@ -281,6 +332,66 @@ SELECT q_id, doc_id, distance, rank FROM (
   )
 ) WHERE rank <= 20"""
 
+def _kmeans(rounds: int) -> str:
+    """CTEs k1 to k`rounds` (list, c): Lloyd's rounds over whole numbers; a centroid that no row is nearest to stays."""
+    found = ""
+    for i in range(1, rounds + 1):
+        found += f""", near{i} AS (
+  SELECT x, arg_min(list, d) AS list FROM (
+    SELECT id, x, list, list_inner_product(c, c) - 2 * list_inner_product(x, c) + list * 1e-4 AS d FROM sample, k{i - 1}
+  ) GROUP BY id, x
+), sums{i} AS (
+  SELECT list, list(floor(s / n) ORDER BY pos) AS c FROM (
+    SELECT list, pos, sum(v) AS s, count(*) AS n FROM (SELECT list, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS v FROM near{i}) GROUP BY ALL
+  ) GROUP BY list
+), k{i} AS (SELECT list, coalesce(s.c, k.c) AS c FROM k{i - 1} k LEFT JOIN sums{i} s USING (list))"""
+    return found
+
+
+_L2 = "round(list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i]))), 6)"
+_EXACT = f"""exact AS (
+  SELECT q_id, doc_id, distance, row_number() OVER (PARTITION BY q_id ORDER BY distance, doc_id) AS rank
+  FROM (SELECT q.id AS q_id, h.id AS doc_id, {_L2.format(a="q.v", b="h.v")} AS distance FROM held q, held h WHERE q.id % 20 = 0)
+)"""
+# Distances of whole numbers; the fraction added to equal ones orders them by list.
+_LISTS = """WITH held AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, md5(vec_id::VARCHAR) AS h FROM embeddings),
+size AS (
+  SELECT count(*) AS n, least(4096, greatest(1, round(sqrt(count(*)))))::BIGINT AS n_lists,
+         pow(2, 10 - floor(log2(sum(list_sum(list_transform(v, lambda t: abs(t)))) / sum(len(v))))) AS scale FROM held
+), whole AS (
+  SELECT id, h, list_transform(v, lambda t: greatest(-1048576, least(1048576, floor(t * scale + 0.5)))) AS x FROM held, size
+), sample AS (
+  SELECT id, h, x FROM whole, size WHERE '0' || h[1:8] < lpad(lower(hex(least(4294967296, ceil(4294967296 * 65536.0 / n))::BIGINT)), 9, '0')
+), k0 AS (SELECT * FROM (SELECT row_number() OVER (ORDER BY h, id) - 1 AS list, x AS c FROM sample), size WHERE list < n_lists)""" + _kmeans(
+    inverted_lists.ROUNDS
+) + f""", ordered AS (
+  SELECT id, list, row_number() OVER (
+    PARTITION BY id ORDER BY list_inner_product(c, c) - 2 * list_inner_product(x, c), list
+  ) AS place FROM whole, k{inverted_lists.ROUNDS}
+), filed AS (SELECT id, list FROM ordered WHERE place = 1),
+audited AS (SELECT id, v FROM held ORDER BY h, id LIMIT 64),
+audit AS (
+  SELECT q_id, doc_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY distance, doc_id) AS rank FROM (
+      SELECT a.id AS q_id, b.id AS doc_id, {_L2.format(a="a.v", b="b.v")} AS distance FROM audited a, held b WHERE a.id <> b.id
+    )
+  ) WHERE rank <= 20
+), places AS (
+  SELECT place, row_number() OVER (ORDER BY place) AS nth, count(*) OVER () AS n
+  FROM audit JOIN filed ON filed.id = doc_id JOIN ordered o ON o.id = q_id AND o.list = filed.list
+), probing AS (SELECT min(place) AS probes FROM places WHERE nth = ceil(0.95 * n - 1e-9)),
+sizes AS (SELECT list, count(*) AS n_rows FROM filed GROUP BY list)"""
+_FOUND = f""", reached AS (
+  SELECT o.id AS q_id, o.list, place, coalesce(sum(coalesce(n_rows, 0)) OVER (PARTITION BY o.id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held_before
+  FROM ordered o LEFT JOIN sizes USING (list) WHERE o.id % 20 = 0
+), near AS (
+  SELECT q_id, doc_id, distance, row_number() OVER (PARTITION BY q_id ORDER BY distance, doc_id) AS rank FROM (
+    SELECT q_id, f.id AS doc_id, {_L2.format(a="q.v", b="h.v")} AS distance
+    FROM reached r, probing JOIN filed f ON f.list = r.list JOIN held q ON q.id = q_id JOIN held h ON h.id = f.id
+    WHERE place <= probes OR held_before < 20
+  )
+)"""
+
 _STEP = "(x * x * x + 12345 * x + 6789) % 1000003"
 _SIDES = """SELECT id, list(code ORDER BY tab) AS codes FROM (
     SELECT id, j // 8 AS tab, sum(CASE WHEN side > middle THEN 1 << (j % 8)::INTEGER ELSE 0 END)::BIGINT AS code
@@ -350,5 +461,11 @@ ORACLES = {
         distance="round(list_sum(list_transform(range(1, len(q) + 1), lambda i: (q[i] - v[i]) * (q[i] - v[i]))), 6)"
     ),
     "dense_topk_lsh": _LSH,
+    "inverted_lists_build": _LISTS + """ SELECT list, n_rows, first_id, probes
+        FROM sizes JOIN (SELECT list, min(id) AS first_id FROM filed GROUP BY list) USING (list), probing""",
+    "dense_neighbours": f"WITH held AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), {_EXACT} SELECT * FROM exact WHERE rank <= 20",
+    "dense_neighbours_lists": _LISTS + _FOUND + " SELECT q_id, doc_id, distance, rank FROM near WHERE rank <= 20",
+    "inverted_lists_recall": _LISTS + _FOUND + f""", {_EXACT} SELECT count(*) AS n_exact, count(near.q_id) AS n_found, round(count(near.q_id) / count(*), 6) AS recall
+        FROM exact LEFT JOIN near ON near.q_id = exact.q_id AND near.doc_id = exact.doc_id AND near.rank <= 20 WHERE exact.rank <= 20""",
     "dense_topk_cosine": _MEANS.format(distance="round(1 - list_cosine_similarity(q, v), 6)"),
 }
