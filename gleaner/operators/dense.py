@@ -169,7 +169,7 @@ def lsh_pairs(asked: DataFrame, n: int, rows: DataFrame, dim: int, tables: int,
 
 
 def dense_topk_lsh(
-    queries: DataFrame, corpus: DataFrame, k: int = 20, *, metric: str = "l2", tables: int = 16, bits: int = 8
+    queries: DataFrame, corpus: DataFrame, k: int = 20, *, metric: str = "l2", tables: int = 32, bits: int = 9
 ) -> DataFrame:
     """Approximate k nearest: only vectors in or next to a question's bucket, in one of the tables, compete.
 

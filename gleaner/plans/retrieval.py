@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import tokens
-from gleaner.operators import assembly, dense, fusion, index, inverted_lists, search, snapshots
+from gleaner.operators import assembly, blocks, dense, fusion, index, inverted_lists, search, snapshots
 from gleaner.session import new_folder, write_table
 from gleaner.sources.tables import Tables, benchmark_questions, named_documents, vector_corpus
 
@@ -79,6 +79,18 @@ def bm25_topk(spark, folder):
     return ranked(search.bm25_topk(questions, written_index(spark, folder)))
 
 
+# Documents of one block: small, as the given corpora are.
+BLOCK_DOCS = 16
+
+
+def bm25_topk_blocks(spark, folder):
+    """The rows of bm25_topk, from postings in blocks that are skipped by their largest impact."""
+    questions, docs = _inputs(spark, folder)
+    idx, path = written_index(spark, folder), new_folder(spark, "packed")
+    blocks.build_blocks(idx, path, block_docs=BLOCK_DOCS)
+    return ranked(blocks.bm25_topk_blocks(questions, blocks.read_blocks(spark, path, idx)))
+
+
 def tfidf_cosine_topk(spark, folder):
     questions, docs = _inputs(spark, folder)
     return ranked(search.tfidf_topk(questions, written_index(spark, folder)))
@@ -229,7 +241,7 @@ def inverted_lists_recall(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        corpus_scan, tokenize, bm25_stats, bm25_topk, tfidf_cosine_topk, tfidf_vectors, rrf_fuse, rrf_dense_only,
+        corpus_scan, tokenize, bm25_stats, bm25_topk, bm25_topk_blocks, tfidf_cosine_topk, tfidf_vectors, rrf_fuse, rrf_dense_only,
         rerank_topk, rerank_fallback, hybrid_retrieve, citations, context_block, prompt_build, recall_at_k,
         dense_topk_l2, dense_topk_cosine, dense_topk_lsh,
         inverted_lists_build, dense_neighbours, dense_neighbours_lists, inverted_lists_recall,
@@ -394,7 +406,7 @@ _FOUND = f""", reached AS (
 
 _STEP = "(x * x * x + 12345 * x + 6789) % 1000003"
 _SIDES = """SELECT id, list(code ORDER BY tab) AS codes FROM (
-    SELECT id, j // 8 AS tab, sum(CASE WHEN side > middle THEN 1 << (j % 8)::INTEGER ELSE 0 END)::BIGINT AS code
+    SELECT id, j // 9 AS tab, sum(CASE WHEN side > middle THEN 1 << (j % 9)::INTEGER ELSE 0 END)::BIGINT AS code
     FROM (SELECT id, j, list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * w[i])) AS side FROM {rows}, planes)
     JOIN middles USING (j) GROUP BY ALL
   ) GROUP BY id"""
@@ -405,7 +417,7 @@ _LSH = """WITH means AS (
 ), asked AS (SELECT label::BIGINT AS id, list(value ORDER BY pos) AS v FROM means GROUP BY label),
 held AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
 numbers AS (
-  SELECT j, d, j * 1009 + d AS x FROM range(128) a(j), range(1, (SELECT max(len(v)) FROM held) + 1) b(d)
+  SELECT j, d, j * 1009 + d AS x FROM range(288) a(j), range(1, (SELECT max(len(v)) FROM held) + 1) b(d)
 ), planes AS (
   SELECT j, list((x % 2001 - 1000)::DOUBLE ORDER BY d) AS w FROM (
     SELECT j, d, """ + _STEP + """ AS x FROM (SELECT j, d, """ + _STEP + """ AS x FROM (SELECT j, d, """ + _STEP + """ AS x FROM numbers))
@@ -418,7 +430,7 @@ numbers AS (
 asked_codes AS (""" + _SIDES.format(rows="asked") + """), held_codes AS (""" + _SIDES.format(rows="held") + """),
 pairs AS (
   SELECT a.id AS q_id, h.id AS doc_id FROM asked_codes a, held_codes h
-  WHERE len(list_filter(range(1, 17), lambda t: bit_count(xor(a.codes[t], h.codes[t])) <= 1)) > 0
+  WHERE len(list_filter(range(1, 33), lambda t: bit_count(xor(a.codes[t], h.codes[t])) <= 1)) > 0
 ), short AS (
   SELECT id AS q_id FROM asked LEFT JOIN pairs ON q_id = id GROUP BY id HAVING count(doc_id) < 20
 ), compared AS (
@@ -440,6 +452,7 @@ ORACLES = {
     "bm25_stats": f"""WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf, n AS n_docs, round(avg_dl, 6) AS avg_dl
         FROM idf, totals""",
     "bm25_topk": "WITH " + _INDEX + _ASKED + BM25 + TOP + "bm25_top",
+    "bm25_topk_blocks": "WITH " + _INDEX + _ASKED + BM25 + TOP + "bm25_top",
     "tfidf_vectors": "WITH " + _INDEX + _VECTORS + " SELECT doc_id, term, round(weight, 6) AS weight FROM vectors",
     "tfidf_cosine_topk": "WITH " + _INDEX + _VECTORS + _ASKED + _COSINE + TOP + "cosine_top",
     "rrf_fuse": _ALL + TOP + "fused",
