@@ -74,26 +74,25 @@ _FACT = (
 )
 
 
-def _weight(x: str, of: str) -> str:
-    """Log weight of drawing x of this source: `of` has drawn (n), this source (k) and all (m) blocks."""
-    parts = (x, f"({of}.k - {x})", f"({of}.n - {x})", f"({of}.m - {of}.k - {of}.n + {x})")
-    return " - ".join(f"({_FACT.format(x=part)})" for part in ("0D", *parts)).replace(f"({_FACT.format(x='0D')}) - ", "-", 1)
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of `body` with `name` standing for `value`, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def _drawn(of: str) -> str:
     """SQL of one hypergeometric draw by inversion over the mean and 12 deviations and more to either side,
     beyond which no probability is left in double precision."""
-    mean = f"({of}.n * {of}.k / greatest({of}.m, 1))"
-    far = f"(12 * sqrt({mean} * (1 - {of}.k / greatest({of}.m, 1)) + 1) + 12)"
-    low = f"greatest(0L, {of}.n - ({of}.m - {of}.k), cast(floor({mean} - {far}) as bigint))"
-    high = f"least({of}.k, {of}.n, cast(ceil({mean} + {far}) as bigint))"
-    mode = f"greatest({low}, least({high}, cast(floor({mean}) as bigint)))"
-    weights = f"transform(sequence({low}, {high}), x -> exp({_weight('x', of)} - ({_weight(mode, of)})))"
+    far = f"12 * sqrt(mean * (1 - {of}.k / greatest({of}.m, 1)) + 1) + 12"
+    low = f"greatest(0L, {of}.n - ({of}.m - {of}.k), cast(floor(mean - ({far})) as bigint))"
+    high = f"least({of}.k, {of}.n, cast(ceil(mean + ({far})) as bigint))"
+    # Log weight of drawing x of this source, of which there are k among m blocks, n of them drawn.
+    parts = f"array(x, {of}.k - x, {of}.n - x, {of}.m - {of}.k - {of}.n + x)"
+    logs = f"transform(sequence(range.low, range.high), x -> aggregate({parts}, 0D, (s, y) -> s - ({_FACT.format(x='y')})))"
+    weights = _let("most", "array_max(logs)", "transform(logs, v -> exp(v - most))")
     # One pass over the weights after their sum: how many are passed before the drawn point.
-    pick = "aggregate(w, named_struct('sum', 0D, 'i', 0L), (s, y) -> named_struct('sum', s.sum + y, 'i', s.i + if(s.sum + y < {of}.u * total, 1L, 0L)), s -> s.i)"
-    total = "aggregate(w, 0D, (s, y) -> s + y)"
-    inner = pick.format(of=of)
-    return f"{low} + element_at(transform(array({weights}), w -> element_at(transform(array({total}), total -> {inner}), 1)), 1)"
+    pick = f"aggregate(w, named_struct('sum', 0D, 'i', 0L), (s, y) -> named_struct('sum', s.sum + y, 'i', s.i + if(s.sum + y < {of}.u * total, 1L, 0L)), s -> s.i)"
+    passed = _let("logs", logs, _let("w", weights, _let("total", "aggregate(w, 0D, (s, y) -> s + y)", pick)))
+    return _let("mean", f"{of}.n * {of}.k / greatest({of}.m, 1)", _let("range", f"named_struct('low', {low}, 'high', {high})", f"range.low + {passed}"))
 
 
 def split_tree(quotas: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
