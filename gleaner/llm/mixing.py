@@ -145,9 +145,9 @@ def blocks(wanted: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFra
 
 
 def mixed(rows: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: str = SEED) -> DataFrame:
-    """`rows` (doc_id, source, size, digest and any other columns) with source_size, target, taken and
-    pieces: array of (shard, slot, first_word, n_words) in the order of the stream; a word of the second
-    reading counts again."""
+    """`rows` (doc_id, source, size, digest and any other columns) with source_size, target, start (place in the
+    source's stream), taken and pieces: array of (shard, slot, first_word, n_words) in the order of the stream;
+    a word of the second reading counts again."""
     # Read by the totals and by both sides of the layout: words are counted once.
     rows = write_table(rows, "sized")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -180,7 +180,7 @@ def mixed(rows: DataFrame, shards: int = SHARDS, block: int = BLOCK, seed: str =
         F.transform("pieces", lambda p: F.struct(p["shard"].alias("shard"), p["slot"].alias("slot"), p["first_word"].alias("first_word"), p["n_words"].alias("n_words"))).alias("pieces"),
     )
     same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_start") == F.col("_at")) & (F.col("size") > 0)
-    out = placed.join(found, same, "left").drop("_s", "_at", "_start")
+    out = placed.join(found, same, "left").drop("_s", "_at").withColumnRenamed("_start", "start")
     return out.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
@@ -192,11 +192,24 @@ def op5_mixing(documents: DataFrame) -> DataFrame:
 
 def mix_documents(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The drawn documents: their own columns, then size, source_size, target, taken and pieces (columns of
-    these names are replaced). Rows of which nothing is taken go."""
-    own = [c for c in documents.columns if c not in ("size", "source_size", "target", "taken", "pieces", "digest")]
-    rows = documents.select(*own).withColumn("size", words(F.col("text"))).withColumn("digest", text_digest(F.col("text")))
-    out = mixed(rows, shards).where("taken > 0")
-    return out.select(*own, "size", "source_size", "target", "taken", "pieces")
+    these names are replaced). Rows of which nothing is taken go. The mix is made of narrow rows; texts join it once."""
+    added = ["size", "source_size", "target", "taken", "pieces"]
+    own = [c for c in documents.columns if c not in added]
+    rows = documents.select("doc_id", "source", words(F.col("text")).alias("size"), text_digest(F.col("text")).alias("digest"))
+    # Rows equal in these three share what is drawn of them, a piece of the stream each.
+    equal = Window.partitionBy("doc_id", "source", "digest")
+    ranked = mixed(rows, shards).withColumns({"_nth": F.row_number().over(equal.orderBy("start")), "_copies": F.count(F.lit(1)).over(equal)})
+    drawn = write_table(ranked.where("taken > 0"), "drawn")
+    named = drawn.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest"), "_nth", "_copies", *added)
+    texts = documents.select(*own).withColumn("_print", text_digest(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_print") == F.col("_digest"))
+    out = texts.join(named.where("_copies = 1"), same)
+    repeated = named.where("_copies > 1")
+    if not repeated.isEmpty():
+        again = texts.join(repeated.select("_id", "_source", "_digest").distinct(), same, "left_semi")
+        place = F.row_number().over(Window.partitionBy("doc_id", "source", "_print").orderBy(F.xxhash64(*own)))
+        out = out.unionByName(again.withColumn("_row", place).join(repeated, same & (F.col("_row") == F.col("_nth"))).drop("_row"))
+    return out.select(*own, *added)
 
 
 # Which words are taken depends on sizes and order alone; the tree only deals blocks to shards.
