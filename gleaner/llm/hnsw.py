@@ -1,11 +1,17 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are one node. Nodes are dealt to shards by hash; one task builds a shard's graph
-from a bounded number of vectors. Every node queries every shard in bounded blocks. A block's
-beam is widened until an audit against brute force over the shard reaches its mean recall per
-query, apart for queries of few and of many links; a block of too few such is answered by brute force. A
-query whose whole beam is linked goes on with a wider one, so no number of links is a cap.
-Cosines of what is found are verified in double precision; components join the links.
+from a bounded number of vectors. Every node queries every shard in bounded blocks, and always
+through the graph. A block's beam is doubled until audits pass: the exact links of a bounded draw
+of its queries, apart for few and for many links, and planted queries that lie at the least cosine
+from a vector of the shard, which need no links among the given vectors. A query whose whole beam
+is linked goes on from its linked nodes alone, so no number of links is a cap and the work follows
+that number. Cosines of what is found are verified in double precision.
+
+Tasks write pairs only where a query has few links in a shard; else the number of its links. With
+them go the edges of a spanning forest of all links, whose union gives the components. So rows
+grow with vectors x shards, not with the square of a group. The links within a group are still
+counted one by one.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import components
@@ -25,13 +31,22 @@ from gleaner.session import write_table
 COSINE = 0.9
 # Vectors of one graph, and queries of one task; both bound a task's memory.
 SHARD_VECTORS = 65_536
-BLOCK_QUERIES = 8_192
+BLOCK_QUERIES = 16_384
 MIN_SHARDS = 4
+MOST_TASKS = 20_000
 NEIGHBOURS = 12
 BUILD_BEAM = 48
-BEAM = 32
-AUDITED = 64
-RECALL = 0.98
+BEAM = 64
+# Queries of a block whose exact links are looked up for its audit, and queries planted for it.
+AUDITED = 256
+PLANTED = 512
+RECALL = 0.995
+# From so many links in one shard on, a query counts them and names none.
+DENSE = 64
+# A search that goes on beyond its beam expands nodes down to so much below the least cosine.
+SLACK = 0.05
+# Pairs whose vectors are gathered at a time.
+GATHERED = 65_536
 BATCH = 512
 EXPANDED = 4
 
@@ -59,11 +74,32 @@ class Graph:
         self.levels = levels
         width = [2 * NEIGHBOURS] + [NEIGHBOURS] * int(levels.max(initial=0))
         self.near = [np.full((n, w), -1, dtype=np.int32) for w in width]
+        rank = np.empty(n, dtype=np.int64)
+        rank[self.order] = np.arange(n)
+        # The nearest node that was there before.
+        self.older, self.rank = np.full(n, -1, dtype=np.int32), rank
         done = 0
         while done < n:
             batch = self.order[done : done + min(BATCH, max(32, done))]
             self._insert(batch, done)
             done += len(batch)
+        self._reach()
+
+    def _reach(self) -> None:
+        """Choosing among back links can leave a node that nobody names. A node that the older one next to it has
+        dropped joins a list: the older one names the first of its list, each of them the one after. So every node
+        is reached from the entry, and two more columns are enough for any number of them."""
+        young = np.flatnonzero(self.older >= 0)
+        lost = young[(self.near[0][self.older[young]] != young[:, None]).all(axis=1)]
+        by = self.older[lost]
+        lost = lost[np.lexsort((-np.einsum("kd,kd->k", self.x[lost], self.x[by]), by))]
+        first = np.flatnonzero(np.diff(self.older[lost], prepend=-1))
+        more = np.full((len(self.x), 2), -1, dtype=np.int32)
+        more[self.older[lost[first]], 0] = lost[first]
+        after = np.setdiff1d(np.arange(len(lost)), first)
+        more[lost[after - 1], 1] = lost[after]
+        self.near[0] = np.concatenate((self.near[0], more), axis=1)
+        del self.older, self.rank
 
     def _insert(self, batch: np.ndarray, done: int) -> None:
         own = self.x[batch]
@@ -78,8 +114,13 @@ class Graph:
             top = np.argpartition(-mates, k - 1, axis=1)[:, :k]
             ids, sims = batch[top].astype(np.int32), np.take_along_axis(mates, top, axis=1)
             if done:
-                older_ids, older_sims = self.search(own[here], BUILD_BEAM, level)
+                older_ids, older_sims, *_ = self.search(own[here], BUILD_BEAM, level)
                 ids, sims = np.concatenate((ids, older_ids), axis=1), np.concatenate((sims, older_sims), axis=1)
+            if not level:
+                before = np.where((ids >= 0) & (self.rank[ids] < self.rank[batch[here]][:, None]), sims, -3)
+                best = before.argmax(axis=1)[:, None]
+                known = np.take_along_axis(before, best, axis=1) > -3
+                self.older[batch[here]] = np.where(known, np.take_along_axis(ids, best, axis=1), -1)[:, 0]
             self._link(batch[here], ids, sims, level)
 
     def _link(self, nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, level: int) -> None:
@@ -125,8 +166,9 @@ class Graph:
             out = np.pad(out, ((0, 0), (0, width - out.shape[1])), constant_values=-1)
         return out.astype(np.int32)
 
-    def search(self, asked: np.ndarray, beam: int, bottom: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, cosines), the `beam` best found for each query on layer `bottom`, best first, -1 where fewer."""
+    def search(self, asked: np.ndarray, beam: int, bottom: int = 0, low: float = 2.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """(ids, cosines, seen, met): the `beam` best found for each query on layer `bottom`, best first, -1
+        where fewer; which vectors each query has seen; and arrays (query, id, cosine) of all met with a cosine of `low`."""
         n = len(asked)
         at = np.full(n, self.order[0])
         sim = asked @ self.x[self.order[0]]
@@ -147,6 +189,8 @@ class Graph:
         ids[:, 0], sims[:, 0], spent[:, 0] = at, sim, False
         seen = np.zeros((n, len(self.x)), dtype=bool)
         seen[np.arange(n), at] = True
+        first = np.flatnonzero(sim >= low)
+        met = [(first, at[first], sim[first])]
         rows = np.arange(n)
         while len(rows):
             order = np.argsort(spent[rows], axis=1, kind="stable")[:, :EXPANDED]
@@ -164,6 +208,8 @@ class Graph:
             seen[rows[where[0]], near[where]] = True
             found = np.full(near.shape, -2, dtype=np.float32)
             found[where] = np.einsum("kd,kd->k", self.x[near[where]], asked[rows[where[0]]])
+            hit = np.nonzero(found >= low)
+            met.append((rows[hit[0]], near[hit], found[hit]))
             all_ids = np.concatenate((ids[rows], np.where(fresh, near, -1)), axis=1)
             all_sims = np.concatenate((sims[rows], found), axis=1)
             all_spent = np.concatenate((spent[rows], ~fresh), axis=1)
@@ -171,116 +217,184 @@ class Graph:
             ids[rows] = np.take_along_axis(all_ids, best, axis=1)
             sims[rows] = np.take_along_axis(all_sims, best, axis=1)
             spent[rows] = np.take_along_axis(all_spent, best, axis=1)
-        return ids, sims
+        return ids, sims, seen, met
 
-
-def linked(graph: Graph, asked: np.ndarray, least: float, own: np.ndarray | None = None) -> list[np.ndarray]:
-    """For each query the ids found with a cosine of about `least` or more; `own` are the queries' places in
-    the graph, -1 outside. Queries are drawn for an audit against brute force until AUDITED have some links,
-    besides themselves, that a beam can hold: all beams double until the audit passes. Where a block has fewer
-    such queries, brute force has looked at all of it and is the answer. Single beams widen until they reach
-    beyond their links."""
-    n, low = len(graph.x), least - 1e-4
-    own = np.full(len(asked), -1) if own is None else own
-    drawn = np.random.default_rng(len(asked)).permutation(len(asked))
-    truth: dict[int, np.ndarray] = {}
-    few: list[int] = []
-    many: list[int] = []
-    step = max(1, min(BATCH, 16_000_000 // n))
-    for start in range(0, len(drawn), step):
-        some = drawn[start : start + step]
-        near = asked[some] @ graph.x.T >= low
-        for i, row in zip(some, near):
-            truth[i] = np.flatnonzero(row).astype(np.int32)
-            others = len(truth[i]) - (own[i] >= 0 and bool(row[own[i]]))
-            if others:
-                (few if others < BEAM else many).append(i)
-        if len(few) >= AUDITED:
-            break
-    if len(truth) == len(asked):
-        return [truth[i] for i in range(len(asked))]
-    # Each on its own: links of a dense group, or its many queries, must not outweigh those of small groups.
-    audits = [np.array(x[:AUDITED]) for x in (few, many) if x]
-    beam = min(BEAM, n)
-    while beam < n and not all(_recall(graph, asked, own, at, truth, beam, low) >= RECALL for at in audits):
-        beam = min(2 * beam, n)
-    return _found(graph, asked, beam, low)
-
-
-def _recall(graph: Graph, asked: np.ndarray, own: np.ndarray, at: np.ndarray, truth: dict[int, np.ndarray], beam: int, low: float) -> float:
-    """The mean over queries of the share of their links, without themselves, that a beam finds."""
-    shares = []
-    for i, got in zip(at, _found(graph, asked[at], beam, low)):
-        links_of = truth[i][truth[i] != own[i]]
-        shares.append(np.isin(links_of, got).mean())
-    return float(np.mean(shares))
-
-
-def _found(graph: Graph, asked: np.ndarray, beam: int, low: float) -> list[np.ndarray]:
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(asked)
-    todo, n = np.arange(len(asked)), len(graph.x)
-    while len(todo):
-        full = []
+    def within(self, asked: np.ndarray, beam: int, low: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, id) of all found with a cosine of `low` or more, once each, by query. A beam that is full
+        has let ids go: the search goes on from those of at least nearly that cosine, and expands no others."""
+        n, edge, out = len(self.x), low - SLACK, []
         # What was seen takes a byte for each (query, vector), beams some bytes each.
         step = max(1, min(BATCH, 64_000_000 // n, 4_000_000 // beam))
-        for start in range(0, len(todo), step):
-            some = todo[start : start + step]
-            ids, sims = graph.search(asked[some], beam)
-            for i, row, score in zip(some, ids, sims):
-                out[i] = row[score >= low]
-            full.append(some[sims[:, -1] >= low])
-        todo = np.concatenate(full) if beam < n else todo[:0]
-        beam = min(2 * beam, n)
-    return out
+        for start in range(0, len(asked), step):
+            some = asked[start : start + step]
+            ids, sims, seen, met = self.search(some, beam, 0, edge)
+            rows, found, scores = (np.concatenate(x) for x in zip(*met))
+            done = (np.arange(len(some))[:, None] * n + ids)[sims >= edge]
+            keys = rows.astype(np.int64) * n + found
+            out.append(keys[scores >= low] + start * n)
+            todo = keys[~np.isin(keys, done)] if len(keys) > len(done) else keys[:0]
+            while len(todo):
+                now, todo = todo[:GATHERED], [todo[GATHERED:]]
+                near = self.near[0][now % n].astype(np.int64)
+                near = np.where(near >= 0, now[:, None] // n * n + near, -1).ravel()
+                near = near[near >= 0]
+                near = np.unique(near[~seen.ravel()[near]])
+                seen.ravel()[near] = True
+                for at in range(0, len(near), GATHERED):
+                    part = near[at : at + GATHERED]
+                    scores = np.einsum("kd,kd->k", self.x[part % n], some[part // n])
+                    out.append(part[scores >= low] + start * n)
+                    todo.append(part[scores >= edge])
+                todo = np.concatenate(todo)
+        keys = np.sort(np.concatenate(out)) if out else np.zeros(0, dtype=np.int64)
+        return keys // n, keys % n
+
+
+class Audit:
+    """What a beam has to find: the exact links of drawn queries, besides themselves, and the origins of
+    planted ones. `own` are the queries' places in the graph, -1 outside."""
+
+    def __init__(self, graph: Graph, asked: np.ndarray, own: np.ndarray, least: float):
+        rng = np.random.default_rng(len(asked))
+        n, d = graph.x.shape
+        drawn = rng.permutation(len(asked))[:AUDITED]
+        near = asked[drawn] @ graph.x.T >= least
+        at = np.flatnonzero(own[drawn] >= 0)
+        near[at, own[drawn][at]] = False
+        linked = np.flatnonzero(near.any(axis=1))
+        # A dense group's many links, or many queries, must not outweigh those of small groups.
+        self.few = near[linked].sum(axis=1) < BEAM
+        # A planted query lies a little above the least cosine from its origin, in a random direction.
+        origin = rng.permutation(n)[:PLANTED]
+        aside = rng.normal(size=(len(origin), d)).astype(np.float32)
+        aside -= np.einsum("kd,kd->k", aside, graph.x[origin])[:, None] * graph.x[origin]
+        length = np.linalg.norm(aside, axis=1, keepdims=True)
+        cosine = np.float32(min(1.0, least + 1e-3))
+        planted = np.where(length > 1e-6, cosine * graph.x[origin] + np.sqrt(1 - cosine**2) * aside / np.maximum(length, 1e-6), graph.x[origin])
+        self.graph, self.low = graph, least - 1e-4
+        self.asked = np.concatenate((asked[drawn[linked]], planted)).astype(np.float32)
+        self.wanted = np.zeros((len(self.asked), n), dtype=bool)
+        self.wanted[: len(linked)] = near[linked]
+        self.wanted[len(linked) + np.arange(len(origin)), origin] = True
+        self.kind = np.concatenate((np.where(self.few, 0, 1), np.full(len(origin), 2)))
+
+    def recall(self, beam: int) -> list[float]:
+        """For queries of few links, of many, and planted ones: the mean share found; 1 where there are none."""
+        hit = np.zeros_like(self.wanted)
+        hit[self.graph.within(self.asked, beam, self.low)] = True
+        shares = (hit & self.wanted).sum(axis=1) / self.wanted.sum(axis=1)
+        return [float(shares[self.kind == k].mean()) if (self.kind == k).any() else 1.0 for k in range(3)]
+
+
+def linked(graph: Graph, asked: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, list[float]]:
+    """(query, id) of all found with a cosine of about `least` or more, the beam used and its audited recall."""
+    own = np.full(len(asked), -1) if own is None else own
+    audit, beam = Audit(graph, asked, own, least), min(BEAM, len(graph.x))
+    recall = audit.recall(beam)
+    while min(recall) < RECALL and beam < len(graph.x):
+        beam = min(2 * beam, len(graph.x))
+        recall = audit.recall(beam)
+    return *graph.within(asked, beam, least - 1e-4), beam, recall
 
 
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("node")
     vectors = np.stack(rows["vector"].to_numpy())
-    blob = pickle.dumps((rows["node"].to_numpy(), vectors, vars(Graph(vectors))))
+    parts = vars(Graph(vectors))
+    # Unit vectors are made again from the given ones.
+    del parts["x"]
+    blob = pickle.dumps((rows["node"].to_numpy(), rows["copies"].to_numpy(), vectors, parts))
     return pd.DataFrame({"dim": [rows["dim"].iloc[0]], "shard": [rows["shard"].iloc[0]], "graph": [blob]})
 
 
-def _pairs(least: float):
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links (a, b): one link from each node to the smallest node of its component. Rounds as in `components`."""
+    names, places = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = places[: len(a)], places[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        least = root.copy()
+        np.minimum.at(least, root[a], root[b])
+        np.minimum.at(least, root[b], root[a])
+        least = np.minimum(least, least[root])
+        least = least[least]
+        if (least == root).all():
+            break
+        root = least
+    below = np.flatnonzero(root < np.arange(len(names)))
+    return names[root[below]], names[below]
+
+
+def _met(least: float):
     def query(key: tuple, graphs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out: tuple[list, list] = ([], [])
-        if len(graphs) and len(rows):
-            nodes, vectors, parts = pickle.loads(graphs["graph"].iloc[0])
-            graph = Graph.__new__(Graph)
-            graph.__dict__.update(parts)
-            asked, own = np.stack(rows["vector"].to_numpy()), rows["node"].to_numpy()
-            exact = unit(asked)
-            by = np.argsort(nodes)
-            at = by[np.minimum(np.searchsorted(nodes, own, sorter=by), len(nodes) - 1)]
-            places = np.where(nodes[at] == own, at, -1)
-            for i, found in enumerate(linked(graph, exact.astype(np.float32), least, places)):
-                found = found[nodes[found] != own[i]]
-                if len(found):
-                    found = found[unit(vectors[found]) @ exact[i] >= least]
-                    out[0].append(np.minimum(nodes[found], own[i]))
-                    out[1].append(np.maximum(nodes[found], own[i]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in out)
-        return pd.DataFrame({"a": a, "b": b})
+        if not len(graphs) or not len(rows):
+            return pd.DataFrame({name: np.zeros(0) for name in FOUND})
+        nodes, copies, vectors, parts = pickle.loads(graphs["graph"].iloc[0])
+        exact = unit(vectors)
+        graph = Graph.__new__(Graph)
+        graph.__dict__.update(parts, x=exact.astype(np.float32))
+        rows = rows.sort_values("node")
+        asked, own = unit(np.stack(rows["vector"].to_numpy())), rows["node"].to_numpy()
+        # Nodes of a graph are in order.
+        at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
+        places = np.where(nodes[at] == own, at, -1)
+        query_, found, beam, recall = linked(graph, asked.astype(np.float32), least, places)
+        sure = np.zeros(len(found), dtype=bool)
+        for start in range(0, len(found), GATHERED):
+            q, f = query_[start : start + GATHERED], found[start : start + GATHERED]
+            sure[start : start + GATHERED] = (np.einsum("kd,kd->k", exact[f], asked[q]) >= least) & (places[q] != f)
+        query_, found = query_[sure], found[sure]
+        others = np.bincount(query_, minlength=len(own))
+        weight = np.bincount(query_, weights=copies[found], minlength=len(own)).astype(np.int64)
+        dense = np.flatnonzero(others >= DENSE)
+        few = others[query_] < DENSE
+        top, low = _forest(own[query_], nodes[found])
+        parts = [
+            (PAIR, own[query_[few]], nodes[found[few]], 0),
+            (COUNT, own[dense], -1, weight[dense]),
+            (EDGE, top, low, 0),
+        ]
+        out = [pd.DataFrame({"kind": kind, "a": a, "b": b, "n": n}) for kind, a, b, n in parts]
+        audit = pd.DataFrame({"kind": [AUDIT], "a": [key[2]], "b": [beam], "n": [len(own)], "few": recall[0], "many": recall[1], "planted": recall[2]})
+        return pd.concat([*out, audit]).assign(shard=key[1])[FOUND]
 
     return query
 
 
+PAIR, COUNT, EDGE, AUDIT = range(4)
+FOUND = ["kind", "shard", "a", "b", "n", "few", "many", "planted"]
+
+
 def links(nodes: DataFrame, least: float = COSINE) -> DataFrame:
-    """(a, b), a < b: linked pairs of (node, vector), vectors distinct, finite and not zero; once each.
-    Vectors of different lengths are never linked."""
+    """What the nodes (node, vector, copies) find in the shards, of rows (kind, shard, a, b, n, few, many, planted):
+    PAIR, node `a` links with `b` of the shard; COUNT, node `a` links with `n` copies of nodes of the shard and
+    none is named; EDGE, a link of a spanning forest; AUDIT, block `a` of `n` queries used a beam of `b` and had
+    these recalls. Vectors are distinct, finite and not zero; vectors of different lengths never link."""
     n = nodes.count()
     shards = max(MIN_SHARDS, -(-n // SHARD_VECTORS))
     blocks = max(1, -(-n // BLOCK_QUERIES))
-    dealt = nodes.select("node", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).alias("shard"))
+    dealt = nodes.select("node", "vector", "copies", F.size("vector").alias("dim"), _shard("node", shards).alias("shard"))
     built = dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard")
     graphs = write_table(built.applyInPandas(_build, "dim int, shard long, graph binary"), "graphs")
-    asked = dealt.drop("shard").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.lit(blocks)))
+    asked = dealt.drop("shard", "copies").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.lit(blocks)))
     # Every block meets every shard: n_shards copies of the vectors, n_blocks copies of the graphs.
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
     met = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     keys = ("dim", "shard", "block")
-    found = met.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_pairs(least), "a long, b long")
-    return write_table(found.distinct(), "pairs")
+    parts = min(shards * blocks, MOST_TASKS)
+    schema = "kind int, shard long, a long, b long, n long, few double, many double, planted double"
+    sides = met.repartition(parts, *keys).groupBy(*keys), asked.repartition(parts, *keys).groupBy(*keys)
+    found = write_table(sides[0].cogroup(sides[1]).applyInPandas(_met(least), schema), "found")
+    # A pair is found from either side; where a side counts, it names nobody of that shard.
+    pairs = found.where(f"kind = {PAIR}").select("a", "b", "shard")
+    pairs = pairs.union(pairs.select("b", "a", _shard("a", shards))).distinct()
+    counted = found.where(f"kind = {COUNT}").select("a", "shard")
+    pairs = pairs.join(counted, ["a", "shard"], "left_anti").select(F.lit(PAIR).alias("kind"), "shard", "a", "b")
+    return pairs.unionByName(found.where(f"kind <> {PAIR}"), allowMissingColumns=True)
+
+
+def _shard(node: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(shards))
 
 
 def op4_embeddings(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
@@ -296,10 +410,11 @@ def op4_embeddings(embeddings: DataFrame, least: float = COSINE) -> DataFrame:
     grouped = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     # Ids of written rows stay what they are.
     nodes = write_table(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    pairs = links(nodes.select("node", "vector"), least)
-    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    others = both.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("others"))
-    roots = components(pairs)
+    found = write_table(links(nodes.select("node", "vector", "copies"), least), "links")
+    named = found.where(f"kind = {PAIR}").select("a", "b").join(nodes.select(F.col("node").alias("b"), "copies"), "b")
+    counted = found.where(f"kind = {COUNT}").select("a", "n")
+    others = named.select("a", F.col("copies").alias("n")).union(counted).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    roots = components(found.where(f"kind = {EDGE}").select("a", "b"))
     placed = nodes.join(roots, "node", "left").join(others, "node", "left")
     placed = placed.select("vector", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     placed = write_table(placed, "placed")

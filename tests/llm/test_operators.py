@@ -278,16 +278,65 @@ def test_a_dense_group_beyond_the_beam(spark):
     assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in got)
 
 
+def links_of(vectors: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Brute force: numbers of links, smallest ids reachable."""
+    near = hnsw.unit(vectors) @ hnsw.unit(vectors).T >= 0.9
+    root = np.arange(len(vectors))
+    while True:
+        least = np.array([root[row].min() for row in near])
+        if (least == root).all():
+            return near.sum(axis=1) - 1, root.tolist()
+        root = least
+
+
 def test_rare_links_to_another_shard_are_audited(monkeypatch):
-    """64 queries drawn at random have no link here: an audit of nothing must not pass."""
-    monkeypatch.setattr(hnsw, "BEAM", 1)
+    """Queries drawn at random have next to no link here: planted ones widen a beam that is too narrow all the same."""
     rng = np.random.default_rng(1)
     x = np.concatenate((hnsw.unit(rng.normal(size=(1200, 200))), hnsw.unit(1 + 0.1 * rng.normal(size=(300, 200))))).astype(np.float32)
     near = hnsw.unit(x[:30] + 0.42 * hnsw.unit(rng.normal(size=(30, 200))))
     asked = np.concatenate((near, hnsw.unit(rng.normal(size=(1800, 200))))).astype(np.float32)
-    want = [np.flatnonzero(row >= 0.9) for row in asked @ x.T]
-    got = hnsw.linked(hnsw.Graph(x), asked, 0.9)
-    assert sum(map(len, want)) == 30 and all(np.isin(b, a).all() for a, b in zip(got, want))
+    want = set(zip(*np.nonzero(asked @ x.T >= 0.9)))
+    graph = hnsw.Graph(x)
+    queries, found, beam, recall = hnsw.linked(graph, asked, 0.9)
+    assert len(want) == 30 and want <= set(zip(queries, found)) and min(recall) >= hnsw.RECALL
+    monkeypatch.setattr(hnsw, "BEAM", 1)
+    audit = hnsw.Audit(graph, asked, np.full(len(asked), -1), 0.9)
+    assert min(audit.recall(1)) < 0.9
+    queries, found, beam, recall = hnsw.linked(graph, asked, 0.9)
+    assert beam > 1 and min(recall) >= hnsw.RECALL and len(want & set(zip(queries, found))) >= 29
+
+
+def test_every_node_of_a_graph_is_reached():
+    rng = np.random.default_rng(7)
+    groups = 1 + np.concatenate([0.05 * rng.normal(size=(400, 8)) + rng.normal(size=8) for _ in range(3)])
+    graph = hnsw.Graph(np.concatenate((groups, rng.normal(size=(500, 8)))))
+    reached, todo = np.zeros(len(graph.x), dtype=bool), graph.order[:1]
+    while len(todo):
+        reached[todo] = True
+        near = np.unique(graph.near[0][todo])
+        todo = near[(near >= 0) & ~reached[np.maximum(near, 0)]]
+    assert reached.all()
+
+
+def test_dense_and_small_groups_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_VECTORS", 300)
+    monkeypatch.setattr(hnsw, "BLOCK_QUERIES", 500)
+    rng = np.random.default_rng(9)
+    dense = 1 + rng.normal(scale=0.05, size=(700, 24))
+    single = rng.normal(size=(900, 24))
+    small = single[:80].repeat(2, axis=0) + rng.normal(scale=0.2, size=(160, 24))
+    vectors = np.concatenate((dense, single, small, dense[:40], single[:5]))
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in hnsw.op4_embeddings(table).collect()}
+    counts, roots = links_of(vectors)
+    assert [got[i].n_links for i in range(len(vectors))] == counts.tolist()
+    assert [got[i].component_id for i in range(len(vectors))] == roots
+    nodes = spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(vectors[:1600])], "node long, vector array<double>, copies long")
+    found = hnsw.links(nodes).collect()
+    audits = [r for r in found if r.kind == hnsw.AUDIT]
+    assert len(audits) == 6 * 4 and all(min(r.few, r.many, r.planted) >= hnsw.RECALL for r in audits)
+    # No square of the dense group: counts and edges for it, pairs for the others.
+    assert len(found) < 1600 * 6 * 4 and sum(r.kind == hnsw.COUNT for r in found) >= 700
 
 
 # op5
