@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.fixed import NO_DESCRIPTION
 from gleaner.operators import metadata
 from gleaner.plans.fixtures import text_literal
-from gleaner.sources.sinks import read_text_documents, write_text_documents
+from gleaner.sources.packed import read_packed, write_packed
 from gleaner.sources.tables import Tables, spread
 from gleaner.session import new_folder
 
@@ -125,10 +125,18 @@ def meta_doc_gaps(spark, folder):
 
 
 def doc_sink(spark, folder):
-    """Documents written as one text folder per table and read back whole."""
+    """Documents written into container files and read back whole."""
     path = new_folder(spark, "documents")
-    write_text_documents(InformationSchema(spark, folder).documents(), path)
-    return read_text_documents(spark, path)
+    write_packed(InformationSchema(spark, folder).documents(), path)
+    return read_packed(spark, path)
+
+
+def doc_lookup(spark, folder):
+    """Documents of every twentieth part read by name from the containers."""
+    path = new_folder(spark, "documents")
+    write_packed(InformationSchema(spark, folder).documents(), path)
+    part = Tables(spark, folder).part.where("p_partkey % 20 = 0")
+    return read_packed(spark, path, part.select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("table_name")))
 
 
 def catalog_columns(spark, folder):
@@ -143,7 +151,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         meta_tables, meta_columns, meta_pk, meta_fk, meta_fmt_type, meta_render_doc, meta_doc_gaps, doc_sink,
-        catalog_columns, column_tables,
+        doc_lookup, catalog_columns, column_tables,
     )
 }
 
@@ -196,6 +204,7 @@ ORACLES = {
     "meta_render_doc": _META + " SELECT table_name, text FROM docs",
     "meta_doc_gaps": _META + " SELECT table_name, n_gaps FROM docs WHERE n_gaps > 0",
     "doc_sink": _META + " SELECT table_name, text FROM docs",
+    "doc_lookup": _META + " SELECT table_name, text FROM docs WHERE substr(table_name, 6)::BIGINT % 20 = 0",
     "catalog_columns": _META + " SELECT * FROM" + _CATALOG,
     "column_tables": _META + ' SELECT "column", "table", count(*) OVER (PARTITION BY "column") AS n_tables FROM' + _CATALOG,
 }
