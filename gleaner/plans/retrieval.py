@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import tokens
-from gleaner.operators import assembly, blocks, dense, fusion, index, inverted_lists, search, snapshots
+from gleaner.operators import assembly, blocks, dense, fusion, index, inverted_lists, latent, search, snapshots
 from gleaner.session import new_folder, write_table
 from gleaner.sources.tables import Tables, benchmark_questions, named_documents, vector_corpus
 
@@ -161,7 +161,10 @@ def prompt_build(spark, folder):
 
 def recall_at_k(spark, folder):
     """How many questions have a document among their best five that quotes them whole, and their share."""
-    questions, docs, best = _best(spark, folder)
+    return _quoted(*_best(spark, folder))
+
+
+def _quoted(questions, docs, best):
     quoted = F.contains(F.lower("text"), F.lower("question"))
     found = best.select("q_id", "doc_id").join(docs, "doc_id").join(questions, "q_id").where(quoted).select("q_id").distinct()
     marked = questions.select("q_id").join(found.withColumn("found", F.lit(1)), "q_id", "left")
@@ -170,6 +173,50 @@ def recall_at_k(spark, folder):
     )
 
 
+_latents: dict[tuple[str, str], str] = {}
+
+
+def _written_latent(spark, folder):
+    """The index and its words' and documents' dense vectors, made once per session and content."""
+    idx = written_index(spark, folder)
+    key = _content_key(spark, named_documents(Tables(spark, folder).documents))
+    if key not in _latents:
+        path = new_folder(spark, "latent")
+        latent.build_latent(idx, path)
+        _latents[key] = path
+    return idx, latent.read_latent(spark, _latents[key])
+
+
+def latent_vectors(spark, folder):
+    """Every document's dense vector, made of the tf-idf matrix' leading singular vectors."""
+    vectors = _written_latent(spark, folder)[1].docs
+    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    return vectors.select("doc_id", F.size("vector").alias("n_dims"), F.round(F.sqrt(squares), 6).alias("length"), F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+def _latent_list(spark, folder):
+    questions, _ = _inputs(spark, folder)
+    idx, vectors = _written_latent(spark, folder)
+    return questions, idx, dense.dense_topk(latent.question_vectors(questions, idx, vectors), vectors.docs, metric="cosine")
+
+
+def latent_topk(spark, folder):
+    """Nearest documents of every question over dense vectors of both."""
+    return _latent_list(spark, folder)[2]
+
+
+def hybrid_retrieve_latent(spark, folder):
+    """Hybrid retrieval whose vector side are dense vectors."""
+    questions, idx, near = _latent_list(spark, folder)
+    return fusion.hybrid_retrieve(questions, idx, dense=near)
+
+
+def latent_recall(spark, folder):
+    """recall_at_k of hybrid retrieval over dense vectors."""
+    questions, docs = _inputs(spark, folder)
+    return _quoted(questions, docs, hybrid_retrieve_latent(spark, folder))
+
+
 def _dense(spark, folder, search_fn, **options):
     corpus = vector_corpus(Tables(spark, folder).embeddings)
     asked = dense.label_means(corpus).select(F.col("label").cast("long").alias("q_id"), "vector")
@@ -245,6 +292,7 @@ QUERIES = {
         rerank_topk, rerank_fallback, hybrid_retrieve, citations, context_block, prompt_build, recall_at_k,
         dense_topk_l2, dense_topk_cosine, dense_topk_lsh,
         inverted_lists_build, dense_neighbours, dense_neighbours_lists, inverted_lists_recall,
+        latent_vectors, latent_topk, hybrid_retrieve_latent, latent_recall,
     )
 }
 
