@@ -26,6 +26,8 @@ BITS = 14
 HELD_OUT = (4, 2)
 # At most so many rows of a language are learned from, and learn.TRAIN_ROWS in all, languages in turn.
 ROWS_PER_LANGUAGE = 1500
+# A language's rows are numbered in so many parts first.
+PARTS = 256
 AMBIGUOUS = 0.2
 # Characters hashed at once; bounds a task's memory on very long texts.
 CHUNK = 1_000_000
@@ -97,14 +99,22 @@ def decode(margins: np.ndarray, code: np.ndarray, trust: np.ndarray) -> np.ndarr
 
 
 def sample(documents: DataFrame) -> DataFrame:
+    """(lang, text) of the documents to learn from: languages in turn, each by hash. Repeated rows count once, and a doc_id
+    with several texts in a language gives one of them. Beyond learn.TRAIN_ROWS languages some are not learned."""
     learnable = F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
-    known = documents.where(learnable & ~in_fold(F.col("doc_id"), *HELD_OUT)).select("doc_id", "lang")
+    usable = documents.where(learnable & ~in_fold(F.col("doc_id"), *HELD_OUT))
     order = F.xxhash64("doc_id")
+    # The first of a language are among the first of its parts, so no task sees a whole language.
+    known = usable.select("doc_id", "lang").distinct().withColumn("_part", F.pmod(order, F.lit(PARTS)))
+    within = F.row_number().over(Window.partitionBy("lang", "_part").orderBy(order, "doc_id"))
+    some = known.withColumn("turn", within).where(F.col("turn") <= ROWS_PER_LANGUAGE)
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    some = known.withColumn("turn", turn).where(F.col("turn") <= ROWS_PER_LANGUAGE)
+    some = some.withColumn("turn", turn).where(F.col("turn") <= ROWS_PER_LANGUAGE)
     some = some.orderBy("turn", order, "doc_id").limit(learn.TRAIN_ROWS).select("doc_id", "lang")
     # At most learn.TRAIN_ROWS rows: a broadcast of proven size.
-    return documents.where(F.col("text").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(some.distinct()), ["doc_id", "lang"]).select("lang", "text")
+    texts = usable.select("doc_id", "lang", "text").join(F.broadcast(some), ["doc_id", "lang"])
+    one = F.min(F.struct(F.xxhash64("text"), "text"))["text"]
+    return texts.groupBy("doc_id", "lang").agg(one.alias("text")).select("lang", "text")
 
 
 FOUND = "lang_pred string, score double, ambiguous boolean"
