@@ -1,7 +1,8 @@
 """URL filter: rules by host and path, and gradient-boosted trees on lexical features for the rest.
 
-URLs that a rule judges are the labelled ones; the trees learn allow or block from a bounded
-sample of them and judge every URL that no rule fits. All features are SQL expressions.
+URLs that a rule judges are the labelled ones; the trees learn allow or block from a bounded sample of
+different ones and judge every URL that no rule fits. Suffix statistics count all labelled rows. All
+features are SQL expressions.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import lower_ascii
-from gleaner.session import write_table
+from gleaner.session import broadcast_if_small, write_table
 
 # Verdict, host and path of each rule.
 RULES = (
@@ -22,8 +23,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-# So many judged URLs are learned from, those of least hash.
-TRAIN_ROWS = 20_000
+# So many different URLs of each verdict are learned from, those of least hash.
+TRAIN_URLS = 10_000
 TREES, DEPTH = 20, 4
 # Weight of the overall share in a suffix's share of blocked URLs.
 PRIOR = 10.0
@@ -82,36 +83,60 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
+def suffix_of(host: Column) -> Column:
+    """The host's last label."""
+    return F.regexp_extract(host, "([^.]*)$", 1)
+
+
+def suffix_statistics(labelled: DataFrame, share: float) -> DataFrame:
+    """(_suffix, _x_suffix_share, _x_suffix_count) over all rows of (_suffix, _label): a suffix's share of blocked
+    rows, drawn to the overall share by PRIOR rows, and the logarithm of its rows."""
+    return labelled.groupBy("_suffix").agg(
+        ((F.sum("_label") + PRIOR * share) / (F.count("*") + PRIOR)).alias("_x_suffix_share"), F.log1p(F.count("*")).alias("_x_suffix_count")
+    )
+
+
+def learnable(labelled: DataFrame) -> DataFrame:
+    """At most TRAIN_URLS different URLs of each label, by hash; a URL has one label, as rules see nothing else."""
+    different = write_table(labelled.groupBy("url").agg(F.max("_label").alias("_label")), "urls-labelled")
+    some = [different.where(F.col("_label") == label).orderBy(F.xxhash64("url"), "url").limit(TRAIN_URLS) for label in (0.0, 1.0)]
+    return some[0].unionByName(some[1])
+
+
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """The pages' rows with host, path, rule and verdict; verdict is allow or block everywhere.
 
     Without labelled URLs of both kinds nothing can be learned: then the rest gets the one
     kind there is, or allow. NULL and malformed URLs have an empty host and path, fit no rule
-    and are judged by the trees like the rest.
+    and are judged by the trees like the rest. Rows of one URL get the same verdict however often it
+    repeats, and equal hashes are ordered by URL. Input columns named host, path, rule or verdict are
+    replaced; other columns are kept, save names that start with `_`, which are used inside.
     """
     rows = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     name, says = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", name).withColumn("_says", says)
-    found = lexical(F.col("url"), F.col("host"), F.col("path"))
-    rows = rows.withColumns({f"_x_{k}": v for k, v in found.items()}).withColumn("_suffix", F.regexp_extract("host", "([^.]*)$", 1))
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
 
-    labelled = rows.where(F.col("_says").isNotNull()).withColumn("_label", (F.col("_says") == "block").cast("double"))
-    learned = labelled.select("url", "_suffix", "_label", *[f"_x_{k}" for k in found]).orderBy(F.xxhash64("url"), "url").limit(TRAIN_ROWS)
-    learned = write_table(learned, "urls-learned")
-    total, blocked = learned.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0.0))).first()
-    share = blocked / total if total else 0.0
+    labelled = rows.where(F.col("_says").isNotNull()).select("url", suffix_of(F.col("host")).alias("_suffix"), (F.col("_says") == "block").cast("double").alias("_label"))
+    total, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("_label"), F.lit(0.0))).first()
     if blocked in (0, total):
         rest = "block" if total and blocked else "allow"
-        return rows.withColumn("verdict", F.coalesce("_says", F.lit(rest))).select(*pages.columns, "host", "path", "rule", "verdict")
+        return rows.withColumn("verdict", F.coalesce("_says", F.lit(rest))).select(*kept, "host", "path", "rule", "verdict")
 
-    # Suffix statistics: at most TRAIN_ROWS rows of a suffix and two numbers.
-    suffixes = learned.groupBy("_suffix").agg(
-        ((F.sum("_label") + PRIOR * share) / (F.count("*") + PRIOR)).alias("_x_suffix_share"), F.log1p(F.count("*")).alias("_x_suffix_count")
-    )
-    suffixes = write_table(suffixes, "suffixes")
+    share = blocked / total
+    suffixes = write_table(suffix_statistics(labelled, share), "suffixes")
+    n_suffixes = suffixes.count()
+    found = lexical(F.col("url"), F.col("host"), F.col("path"))
+
+    def featured(some: DataFrame) -> DataFrame:
+        return some.withColumns({f"_x_{k}": v for k, v in found.items()}).withColumn("_suffix", suffix_of(F.col("host")))
+
+    rows = featured(rows)
+    learned = learnable(labelled).withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
+    learned = write_table(featured(learned), "urls-learned")
 
     def vectors(some: DataFrame) -> DataFrame:
-        known = some.join(F.broadcast(suffixes), "_suffix", "left").fillna({"_x_suffix_share": share, "_x_suffix_count": 0.0})
+        known = some.join(broadcast_if_small(suffixes, n_suffixes), "_suffix", "left").fillna({"_x_suffix_share": share, "_x_suffix_count": 0.0})
         inputs = [*[f"_x_{k}" for k in found], "_x_suffix_share", "_x_suffix_count"]
         return VectorAssembler(inputCols=inputs, outputCol="_vector").transform(known)
 
@@ -122,8 +147,22 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     model = trees.fit(vectors(learned).select("_vector", "_label"))
     rest = F.when(F.col("_blocks") == 1.0, "block").otherwise("allow")
     out = model.transform(vectors(rows)).withColumn("verdict", F.coalesce(F.col("_says"), rest))
-    return out.select(*pages.columns, "host", "path", "rule", "verdict")
+    return out.select(*kept, "host", "path", "rule", "verdict")
 
 
 def op10_urls(pages: DataFrame) -> DataFrame:
     return judged(pages.select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+# Host, path and rule as DuckDB statements say them; the trees' verdicts have none.
+RULES_SQL = """WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), rules(domain, start) AS (VALUES ('com', '/'), ('example.com', '/en/'), ('www.example.com', '/en/'), ('net', '/es/'), ('net', '/fr/')),
+fitting AS (
+  SELECT page_id, arg_max(domain || start, length(domain || start)) AS rule FROM parts, rules
+  WHERE (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start) GROUP BY page_id
+)
+SELECT page_id, host, path, rule FROM parts LEFT JOIN fitting USING (page_id)"""

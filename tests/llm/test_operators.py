@@ -478,3 +478,54 @@ def test_trees_judge_the_rest(spark, folder):
     odd = spark.createDataFrame([(1, None, "h"), (None, "", "h"), (2, "x://y.org/" + "z" * 50_000, "h"), (2, "http://a.com/", "h")], "page_id long, url string, host string")
     assert {r.verdict for r in urls.op10_urls(odd).collect()} <= {"allow", "block"}
     assert urls.op10_urls(empty(spark, "page_id long, url string")).count() == 0
+
+
+def test_host_path_and_rule_as_the_statement_says(spark, folder, duck):
+    mine = [tuple(r) for r in urls.op10_urls(spark.read.parquet(f"{folder}/pages.parquet")).select("page_id", "host", "path", "rule").collect()]
+    assert Counter(mine) == Counter(duck.execute(urls.RULES_SQL).fetchall())
+
+
+def test_suffix_statistics_count_all_rows_and_the_sample_different_urls(spark, monkeypatch):
+    monkeypatch.setattr(urls, "TRAIN_URLS", 30)
+    hot = [(i, "http://hot.net/es/1") for i in range(2000)]
+    rest = [(5000 + i, f"http://a{i}.{('com', 'net')[i % 2]}/{('x', 'fr')[i % 2]}/{i}") for i in range(200)]
+    pages = spark.createDataFrame([*hot, *rest, (9000, "http://b.org/fr/1"), (9001, "http://b.org/x/1")], "page_id long, url string")
+    host, path = urls.host_of(pages.url), urls.path_of(pages.url)
+    labelled = pages.select("url", urls.suffix_of(host).alias("_suffix"), (urls.rule_of(host, path)[1] == "block").cast("double").alias("_label")).where("_label is not null")
+    share = 2100 / 2200
+    stats = {r._suffix: (r._x_suffix_share, r._x_suffix_count) for r in urls.suffix_statistics(labelled, share).collect()}
+    assert stats["com"] == pytest.approx((10 * share / 110, np.log1p(100))) and stats["net"] == pytest.approx(((2100 + 10 * share) / 2110, np.log1p(2100)))
+    learned = urls.learnable(labelled).collect()
+    # The one hot URL is one row of the sample, and both verdicts are in it.
+    assert Counter(r._label for r in learned) == {0.0: 30, 1.0: 30} and len({r.url for r in learned}) == 60
+    out = {r.page_id: r.verdict for r in urls.op10_urls(pages).collect()}
+    assert len(out) == 2202 and {out[i] for i in range(2000)} == {"block"} and out[5000] == "allow"
+
+
+def test_url_columns_that_clash_are_replaced(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x", "h", "p"), (2, "http://a.net/es/", None, None)], "page_id long, url string, host string, verdict string")
+    found = urls.judged(pages)
+    assert found.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    assert {(r.host, r.verdict) for r in found.collect()} == {("a.com", "allow"), ("a.net", "block")}
+
+
+def test_language_sample_of_repeated_rows(spark):
+    """A repeated row counts once, a document with several texts gives one, and each language gives its first rows by hash."""
+    rows = [(7, "same text", "en")] * 500 + [(9, f"text {i}", "en") for i in range(50)] + [(100 + i, f"wort {i}", ("de", "en")[i % 2]) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (None, "x", "en"), (3, None, "en"), (4, "x", None)], "doc_id long, text string, lang string")
+    learned = langid.sample(docs).collect()
+    usable = {(i, lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(learned) == len(usable) and Counter(r.lang for r in learned) == Counter(lang for _, lang in usable)
+    held = [i for i, _, lang in rows if (i, lang) in usable]
+    assert {r.text for r in learned} - {f"text {i}" for i in range(50)} == {t for i, t, _ in rows if i in held and i != 9}
+
+
+def test_language_sample_is_the_first_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(langid, "ROWS_PER_LANGUAGE", 5)
+    docs = spark.range(400).selectExpr("id as doc_id", "cast(id as string) as text", "if(id % 3 = 0, 'de', 'en') as lang")
+    got = {(r.lang, int(r.text)) for r in langid.sample(docs).collect()}
+    hashed = {r.id: r.h for r in spark.range(400).selectExpr("id", "xxhash64(id) as h").collect()}
+    kept = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    for lang, rest in (("de", {0}), ("en", {1, 2})):
+        first = sorted((i for i in kept if i % 3 in rest), key=lambda i: hashed[i])[:5]
+        assert {i for name, i in got if name == lang} == set(first)
