@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import dense
+# By name: a task that got the module `dense` would import what that imports.
+from gleaner.operators.dense import _distances, _keep_best
 from gleaner.operators.search import top_per_key
 from gleaner.session import new_folder, write_table
 
@@ -210,8 +212,8 @@ def _search_block(index: Lists, asked: pd.DataFrame, k: int, probes: int | None)
                 step = max(1, 4_000_000 // len(ids))
                 for start in range(0, len(takers), step):
                     some = takers[start : start + step]
-                    for at, near in zip(some, dense._distances(metric, held, q_vectors[some]).T):
-                        best[at] = dense._keep_best(best[at], ids, near, k)
+                    for at, near in zip(some, _distances(metric, held, q_vectors[some]).T):
+                        best[at] = _keep_best(best[at], ids, near, k)
         found = [(q, *kept) for q, kept in zip(q_ids, best) if kept is not None]
         if found:
             sizes = [len(ids) for _, ids, _ in found]

@@ -1,7 +1,11 @@
 """Inverted lists against the exact search: recall, odd vectors, and which files are read."""
 
+import subprocess
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gleaner.operators import dense, inverted_lists
@@ -78,3 +82,15 @@ def test_odd_vectors(spark):
         inverted_lists.build_lists(vectors.where("false"), new_folder(spark, "inverted"))
     with pytest.raises(ValueError):
         inverted_lists.build_lists(vectors, new_folder(spark, "inverted"), metric="other")
+
+
+def test_tasks_of_a_search_load_without_the_package(spark, monkeypatch):
+    vectors = vector_frame(spark, [(i, (i, 1.0)) for i in range(40)], "doc_id")
+    index, seen, real = built(spark, vectors), [], type(vectors).mapInPandas
+    monkeypatch.setattr(type(vectors), "mapInPandas", lambda self, f, schema: seen.append(f) or real(self, f, schema))
+    inverted_lists.search_lists(every_twentieth(vectors), index, 3)
+    load = "import sys, pyspark.core.broadcast as b; from pyspark import cloudpickle; b._from_id = lambda i: None; cloudpickle.loads(sys.stdin.buffer.read())"
+    for function in seen:
+        done = subprocess.run([sys.executable, "-I", "-c", load], input=cloudpickle.dumps(function), capture_output=True)
+        assert done.returncode == 0, done.stderr.decode()[-500:]
+    assert seen
