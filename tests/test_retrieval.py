@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import token_overlap, tokens
 from gleaner.operators import dense, fusion, index, search
+from gleaner.plans import retrieval
 from gleaner.session import new_folder
 from gleaner.sources.sinks import scan_documents
 from gleaner.sources.tables import Tables, benchmark_questions, named_documents, vector_corpus
@@ -69,6 +70,34 @@ def test_floor_search_finds_the_same_rows(spark, folder):
         assert pruned.exceptAll(plain).count() == 0
 
 
+def test_blocks_of_documents_give_their_best_rows_only(spark, folder, monkeypatch):
+    t = Tables(spark, folder)
+    path = new_folder(spark, "index")
+    index.build_index(named_documents(t.documents), path)
+    questions, idx = benchmark_questions(t.benchmark), index.read_index(spark, path)
+    monkeypatch.setattr(search, "BLOCK_POSTINGS", 3000)
+    monkeypatch.setattr(search, "PART_WORDS", 400)
+    found = search.bm25_topk(questions, idx, 3)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, search.bm25_topk(questions, idx, 3, pair_budget=0).collect()))
+    # Pairs of questions and documents are never rows.
+    assert "FlatMapGroupsInPandas" in found._jdf.queryExecution().toString()
+
+
+def test_blocks_with_odd_documents(spark):
+    rows = [(1, "a", "cat dog"), (1, "b", "cat bird"), (None, "c", "cat cat dog"), (None, "d", "dog x"), (5, "e", "fish"), (6, "f", "..."), (7, "g", "eel")]
+    idx = index.plan_index(spark.createDataFrame(rows, "doc_id long, file_name string, text string"))
+    for questions in (asked(spark, "cat dog fish", "eel", "?", None, "zz"), asked(spark, "?")):
+        for topk in (search.bm25_topk, search.tfidf_topk):
+            assert sorted(map(str, topk(questions, idx).collect())) == sorted(map(str, topk(questions, idx, pair_budget=0).collect()))
+
+
+def test_documents_are_not_shuffled_for_a_few_answers(spark, folder):
+    for query in (retrieval.context_block, retrieval.prompt_build):
+        plan = query(spark, folder)._jdf.queryExecution().executedPlan().toString()
+        assert "text" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line and "text" in line)
+        assert "BroadcastHashJoin [doc_id" in plan
+
+
 def test_floor_search_with_negative_weights(spark):
     # In two documents that share every word all idf are negative, and so is their mean.
     idx = index.plan_index(corpus(spark, "a b c", "a b c", "a b d"))
