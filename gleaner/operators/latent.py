@@ -1,10 +1,11 @@
 """Dense vectors of texts: the leading right singular vectors of the corpus' tf-idf matrix.
 
 The matrix A (a unit row per document, a column per word) is factored by subspace iteration from random
-signs. It is dealt into blocks of documents of some BLOCK_ENTRIES entries, packed once and written. One
-pass computes A'(A Q): a block gets the rows of Q for its own words, multiplies twice, and gives one row per
-word it holds, so neither Q nor the result ever is in one place and a word of every document moves once a
-block. Only matrices of (dims + EXTRA) squared numbers pass the driver. A text's vector is its tf-idf
+signs. It is dealt into blocks of documents of some BLOCK_ENTRIES entries, packed once and written. A pass makes
+D = A Q, a row per document, and Y = A'D, a row per word, so no matrix ever is in one place. Documents are far fewer
+than words, so D is what is written. Of Y only the rows of words in several blocks move: summed over the blocks, and
+back to each block that has the word. A word of one block has its row of Y made there from D, and first signs are shipped as bits.
+Only matrices of (dims + EXTRA) squared numbers pass the driver. A text's vector is its tf-idf
 row times the singular vectors, for documents and questions alike.
 
 The written vectors are two tables, `words` (term, vector) and `docs` (doc_id, vector). Every document with a
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,10 +34,15 @@ DIMS = 64
 # Columns beyond the wanted ones, and passes before the last: both sharpen the last dimensions.
 EXTRA = 16
 PASSES = 3
-BLOCK_ENTRIES = 1_000_000
+# Some 40 bytes each in a task, and a row of Y for every word of several blocks.
+BLOCK_ENTRIES = 4_000_000
+BLOCK_DOCS = 200_000
 # Directions with less than this part of the largest squared length are rounding errors.
 TINY = 1e-12
-PACKED = "block long, docs binary, starts binary, places binary, weights binary, terms array<string>"
+PACKED = "block long, docs binary, norms binary, starts binary, steps binary, counts binary, idfs binary, terms array<string>"
+# D of a block's documents, and Y'Y of the words that no other block has.
+STATE = "block long, found binary, squares binary"
+SIGNS_A_LONG = 32
 
 # Tasks get this module's functions with the job; executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -49,16 +55,19 @@ class Latent:
 
 
 def _pack(rows: pd.DataFrame) -> pd.DataFrame:
-    """One block's entries as sorted runs per document; `places` point into `terms`."""
+    """One block's entries as sorted runs per document. Word counts and `steps` from place to place in `terms` compress
+    well; weights are made of them."""
     rows = rows.sort_values(["doc_id", "term"], kind="stable")
-    terms, places = np.unique(rows["term"].to_numpy(dtype=str), return_inverse=True)
+    terms, firsts, places = np.unique(rows["term"].to_numpy(dtype=str), return_index=True, return_inverse=True)
     docs, starts = np.unique(rows["doc_id"].to_numpy(dtype=np.int64), return_index=True)
     return pd.DataFrame({
         "block": [int(rows["block"].iloc[0])],
         "docs": [docs.tobytes()],
+        "norms": [rows["norm"].to_numpy(dtype=np.float64)[starts].tobytes()],
         "starts": [starts.astype(np.int64).tobytes()],
-        "places": [places.astype(np.int32).tobytes()],
-        "weights": [rows["weight"].to_numpy(dtype=np.float64).tobytes()],
+        "steps": [np.diff(places, prepend=0).astype(np.int32).tobytes()],
+        "counts": [rows["tf"].to_numpy(dtype=np.int32).tobytes()],
+        "idfs": [rows["idf"].to_numpy(dtype=np.float64)[firsts].tobytes()],
         "terms": [terms.tolist()],
     })
 
@@ -66,53 +75,163 @@ def _pack(rows: pd.DataFrame) -> pd.DataFrame:
 def packed_rows(index: Index, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
     """A in blocks of documents, a written table of PACKED rows."""
     n_docs = index.corpus.select("n_docs").scalar()
-    n_blocks = max(1, math.ceil((index.terms.agg(F.sum("df")).first()[0] or 0) / block_entries))
-    postings = index.postings.where("doc_id is not null").join(index.terms.select("term", "df"), "term")
-    weight = F.col("tf") * smooth_idf(F.col("df"), n_docs) / F.col("norm")
-    entries = postings.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), "doc_id", "term", weight.alias("weight"))
+    entries, docs = index.terms.agg(F.sum("df")).first()[0] or 0, index.corpus.first().n_docs
+    n_blocks = max(1, math.ceil(entries / block_entries), math.ceil(docs / BLOCK_DOCS))
+    idfs = index.terms.select("term", smooth_idf(F.col("df"), n_docs).alias("idf"))
+    postings = index.postings.where("doc_id is not null").join(idfs, "term")
+    entries = postings.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), "doc_id", "term", "tf", "idf", "norm")
     return write_table(entries.groupBy("block").applyInPandas(_pack, PACKED), "packed-rows")
 
 
-def _times(block: pd.Series, right: np.ndarray) -> np.ndarray:
-    """The block's rows of A times a matrix over the block's words, a bounded number of entries at once."""
-    starts = np.frombuffer(block["starts"], dtype=np.int64)
-    places, weights = np.frombuffer(block["places"], dtype=np.int32), np.frombuffer(block["weights"], dtype=np.float64)
-    out = np.zeros((len(starts), right.shape[1]))
-    rows = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(places))))
-    for column in range(right.shape[1]):
-        out[:, column] = np.bincount(rows, weights * right[places, column], minlength=len(starts))
-    return out
+class _Block:
+    """A block's rows of A, unpacked; `shared` are the places of words that other blocks have too."""
 
+    def __init__(self, packed: pd.Series, shared: np.ndarray):
+        starts, norms = np.frombuffer(packed["starts"], dtype=np.int64), np.frombuffer(packed["norms"], dtype=np.float64)
+        self.places = np.cumsum(np.frombuffer(packed["steps"], dtype=np.int32), dtype=np.int64)
+        self.rows = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(self.places))))
+        counts, idfs = np.frombuffer(packed["counts"], dtype=np.int32), np.frombuffer(packed["idfs"], dtype=np.float64)
+        self.weights = counts * idfs[self.places] / norms[self.rows]
+        self.block, self.n_docs, self.n_words = int(packed["block"]), len(starts), len(packed["terms"])
+        self.own = np.ones(self.n_words, dtype=bool)
+        self.own[shared] = False
 
-def _transposed_times(block: pd.Series, left: np.ndarray) -> np.ndarray:
-    """The transposed rows of A times a matrix over the block's documents."""
-    starts = np.frombuffer(block["starts"], dtype=np.int64)
-    places, weights = np.frombuffer(block["places"], dtype=np.int32), np.frombuffer(block["weights"], dtype=np.float64)
-    out = np.zeros((len(block["terms"]), left.shape[1]))
-    rows = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(places))))
-    for column in range(left.shape[1]):
-        out[:, column] = np.bincount(places, weights * left[rows, column], minlength=len(out))
-    return out
+    def times(self, right: np.ndarray) -> np.ndarray:
+        """A times a column over the block's words."""
+        return np.bincount(self.rows, self.weights * right[self.places], minlength=self.n_docs)
 
+    def transposed_times(self, left: np.ndarray) -> np.ndarray:
+        """A' times a column over the block's documents."""
+        return np.bincount(self.places, self.weights * left[self.rows], minlength=self.n_words)
 
-def _block_products(blocks: DataFrame, needs: DataFrame, words: DataFrame, turn: np.ndarray, *, back: bool) -> DataFrame:
-    """(key, vector): A Q of every document, or with `back` A'(A Q) of every block's words, for Q = words * turn."""
-    wanted = needs.join(words, "term").select("block", "at", "vector")
+    def own_rows(self, found: np.ndarray) -> np.ndarray:
+        """Y of the words that no other block has."""
+        return np.stack([self.transposed_times(column)[self.own] for column in found.T], axis=1)
+
+
+def _vectors(key: str, keys: Iterable, vectors: Iterable) -> pd.DataFrame:
+    """A column of objects also where there are none, as Arrow makes lists of nothing else."""
+    return pd.DataFrame({key: pd.Series(list(keys), dtype=object), "vector": pd.Series(list(vectors), dtype=object)})
+
+
+def _found(state: pd.DataFrame, n_docs: int) -> np.ndarray:
+    return np.frombuffer(state["found"].iloc[0], dtype=np.float64).reshape(n_docs, -1)
+
+
+def _first_documents(blocks: DataFrame, needs: DataFrame, width: int) -> DataFrame:
+    """D = A Q as STATE rows, for Q of random signs by a fixed rule of word and column, so that a rebuilt index has the same vectors."""
+    parts = [range(at, min(at + SIGNS_A_LONG, width + 1)) for at in range(1, width + 1, SIGNS_A_LONG)]
+
+    def bits(columns: range):
+        places = F.array(*[F.lit(i) for i in columns])
+        return F.aggregate(places, F.lit(0).cast("long"), lambda s, i: s * 2 + F.pmod(F.xxhash64("term", i), F.lit(2)))
+
+    wanted = needs.select("block", "at", "shared", F.array(*[bits(part) for part in parts]).alias("signs"))
+
+    def product(packed: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if packed.empty:
+            return pd.DataFrame({"block": [], "found": [], "squares": []}, dtype=object)
+        signs = np.empty((len(right), len(parts)), dtype=np.int64)
+        signs[right["at"].to_numpy()] = np.stack(right["signs"].to_numpy())
+        block = _Block(packed.iloc[0], right["at"].to_numpy()[right["shared"].to_numpy(dtype=bool)])
+        columns = [(signs[:, at] >> (len(part) - 1 - k) & 1) * 2.0 - 1.0 for at, part in enumerate(parts) for k in range(len(part))]
+        return _state(block, np.stack([block.times(column) for column in columns], axis=1))
+
+    return write_table(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(product, STATE), "documents")
+
+
+def _state(block: _Block, found: np.ndarray) -> pd.DataFrame:
+    own = block.own_rows(found)
+    return pd.DataFrame({"block": [block.block], "found": [np.ascontiguousarray(found).tobytes()], "squares": [(own.T @ own).tobytes()]})
+
+
+def _shared_places(needs: DataFrame) -> DataFrame:
+    return needs.where("shared").select("block", "at", "term")
+
+
+def _shared_words(blocks: DataFrame, needs: DataFrame, state: DataFrame, width: int) -> DataFrame:
+    """(term, vector), a written table: Y = A'D of the words of several blocks."""
+    places = _shared_places(needs)
+    right = state.select("block", "found", F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("term"))
+    right = right.unionByName(places.withColumn("found", F.lit(None).cast("binary")))
 
     def product(packed: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if packed.empty or right.empty:
-            return pd.DataFrame({"key": [], "vector": []})
-        block = packed.iloc[0]
-        vectors = np.zeros((len(block["terms"]), turn.shape[0]))
-        vectors[right["at"].to_numpy()] = np.stack(right["vector"].to_numpy())
-        found = _times(block, vectors @ turn)
-        keys = np.frombuffer(block["docs"], dtype=np.int64)
-        if back:
-            keys, found = block["terms"], _transposed_times(block, found)
-        return pd.DataFrame({"key": keys, "vector": list(found)})
+        held = right[right["found"].isna()]
+        if packed.empty or held.empty:
+            return _vectors("term", [], [])
+        at = held["at"].to_numpy(dtype=np.int64)
+        block = _Block(packed.iloc[0], at)
+        found = _found(right[right["found"].notna()], block.n_docs)
+        sums = np.stack([block.transposed_times(column)[at] for column in found.T], axis=1)
+        return _vectors("term", held["term"], sums)
+
+    parts = blocks.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(product, "term string, vector array<double>")
+    sums = [F.sum(F.col("vector")[i]) for i in range(width)]
+    return write_table(parts.groupBy("term").agg(F.array(*sums).alias("vector")), "word-vectors")
+
+
+def _documents(blocks: DataFrame, needs: DataFrame, state: DataFrame, words: DataFrame, turn: np.ndarray) -> DataFrame:
+    """D = A Y turn as STATE rows; Y of words of several blocks is `words`, that of others is made of the last D."""
+    places = _shared_places(needs)
+    right = state.select("block", "found", F.lit(None).cast("int").alias("at"), F.lit(None).cast("array<double>").alias("vector"))
+    right = right.unionByName(places.join(words, "term").select("block", F.lit(None).cast("binary").alias("found"), "at", "vector"))
 
-    key = "string" if back else "long"
-    return blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(product, f"key {key}, vector array<double>")
+    def product(packed: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if packed.empty:
+            return pd.DataFrame({"block": [], "found": [], "squares": []}, dtype=object)
+        held = right[right["found"].isna()]
+        at = held["at"].to_numpy(dtype=np.int64)
+        block = _Block(packed.iloc[0], at)
+        last = _found(right[right["found"].notna()], block.n_docs)
+        vectors = np.stack(held["vector"].to_numpy()) if len(held) else np.empty((0, last.shape[1]))
+        out = np.empty((block.n_docs, turn.shape[0]))
+        for column in range(turn.shape[0]):
+            sums = block.transposed_times(last[:, column])
+            sums[at] = vectors[:, column]
+            out[:, column] = block.times(sums)
+        return _state(block, out @ turn)
+
+    return write_table(blocks.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(product, STATE), "documents")
+
+
+def _unpacked(blocks: DataFrame, needs: DataFrame, state: DataFrame, turn: np.ndarray, *, words: bool) -> DataFrame:
+    """(key, vector): the rows of D times `turn`, or with `words` those of Y of the words that no other block has."""
+    right = state.select("block", "found", F.lit(None).cast("int").alias("at"))
+    if words:
+        right = right.unionByName(needs.where("shared").select("block", F.lit(None).cast("binary").alias("found"), "at"))
+
+    def rows(packed: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if packed.empty:
+            return _vectors("key", [], [])
+        packed, keys = packed.iloc[0], np.frombuffer(packed["docs"].iloc[0], dtype=np.int64)
+        found = _found(right[right["found"].notna()], len(keys))
+        if words:
+            block = _Block(packed, right["at"][right["found"].isna()].to_numpy(dtype=np.int64))
+            keys, found = np.asarray(packed["terms"], dtype=object)[block.own], block.own_rows(found)
+        return _vectors("key", keys, found @ turn)
+
+    key = "string" if words else "long"
+    columns = blocks if words else blocks.select("block", "docs")
+    return columns.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(rows, f"key {key}, vector array<double>")
+
+
+def _squares(state: DataFrame, width: int) -> np.ndarray:
+    """The sum of the blocks' own squares, a row a number, as `gram`."""
+
+    def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for squares in batches:
+            yield pd.Series([np.frombuffer(s, dtype=np.float64) for s in squares], dtype=object)
+
+    each = state.select(F.posexplode(F.pandas_udf(numbers, "array<double>")("squares")).alias("at", "value"))
+    return _square(each.groupBy("at").agg(F.sum("value").alias("value")), width)
+
+
+def _square(sums: DataFrame, width: int) -> np.ndarray:
+    """The (width, width) numbers of (at, value); zeros where there are none."""
+    out = np.zeros(width * width)
+    for r in sums.collect():
+        out[r["at"]] = r["value"]
+    return out.reshape(width, width)
 
 
 def gram(rows: DataFrame, width: int) -> np.ndarray:
@@ -127,7 +246,7 @@ def gram(rows: DataFrame, width: int) -> np.ndarray:
         yield pd.DataFrame({"at": np.arange(width * width), "value": total.ravel()})
 
     sums = rows.select("vector").mapInPandas(partial, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
-    return np.array([r.value for r in sums.orderBy("at").collect()]).reshape(width, width)
+    return _square(sums, width)
 
 
 def _directions(squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,25 +270,25 @@ def _turned(rows: DataFrame, key: str, turn: np.ndarray) -> DataFrame:
 
 def build_latent(index: Index, path: str, *, dims: int = DIMS, passes: int = PASSES, block_entries: int = BLOCK_ENTRIES) -> np.ndarray:
     """Write the vectors of an index's words and documents under `path`; the singular values, largest first."""
-    if dims < 1:
-        raise ValueError("dims must be positive")
+    if dims < 1 or passes < 1:
+        raise ValueError("dims and passes must be positive")
     blocks = packed_rows(index, block_entries)
-    needs = write_table(blocks.select("block", F.posexplode("terms").alias("at", "term")), "block-words")
+    places = write_table(blocks.select("block", F.posexplode("terms").alias("at", "term")), "block-words")
+    # A word of several blocks has a row for each of them.
+    several = places.groupBy("term").agg(F.count(F.lit(1)).alias("n")).select("term", (F.col("n") > 1).alias("shared"))
+    needs = write_table(places.join(several, "term"), "block-words")
     width = dims + EXTRA
-    # Signs by a fixed rule of word and column, so that a rebuilt index has the same vectors.
-    signs = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.pmod(F.xxhash64("term", i), F.lit(2)) * 2.0 - 1.0)
-    words, turn = index.terms.select("term", signs.alias("vector")), np.eye(width)
+    state = _first_documents(blocks, needs, width)
     for _ in range(passes):
-        parts = _block_products(blocks, needs, words, turn, back=True)
-        sums = [F.sum(F.col("vector")[i]) for i in range(turn.shape[1])]
-        summed = parts.groupBy(F.col("key").alias("term")).agg(F.array(*sums).alias("vector"))
-        words = write_table(summed, "word-vectors")
-        values, vectors = _directions(gram(words, turn.shape[1]))
+        words = _shared_words(blocks, needs, state, width)
+        values, vectors = _directions(gram(words, width) + _squares(state, width))
         turn = vectors / np.sqrt(values)
-    docs = write_table(_block_products(blocks, needs, words, turn, back=False), "doc-vectors")
-    squares, rotation = _directions(gram(docs, turn.shape[1]))
+        last, state, width = state, _documents(blocks, needs, state, words, turn), turn.shape[1]
+    docs = write_table(_unpacked(blocks, needs, state, np.eye(width), words=False), "doc-vectors")
+    squares, rotation = _directions(gram(docs, width))
     squares, rotation = squares[:dims], rotation[:, :dims]
-    _turned(words, "term", turn @ rotation).write.parquet(f"{path}/words")
+    shared = _turned(words, "term", turn @ rotation)
+    shared.unionByName(_unpacked(blocks, needs, last, turn @ rotation, words=True).withColumnRenamed("key", "term")).write.parquet(f"{path}/words")
     _turned(docs.withColumnRenamed("key", "doc_id"), "doc_id", rotation).write.parquet(f"{path}/docs")
     return np.sqrt(squares)
 

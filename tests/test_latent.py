@@ -80,6 +80,20 @@ def test_blocks_do_not_change_vectors(spark, folder):
     assert np.allclose(stacked(one[1].docs, "doc_id", ids), stacked(other[1].docs, "doc_id", ids), atol=1e-6)
 
 
+def test_only_words_of_several_blocks_move(spark, folder, monkeypatch):
+    idx = indexed(spark, named_documents(Tables(spark, folder).documents))
+    written, real = [], latent.write_table
+    monkeypatch.setattr(latent, "write_table", lambda rows, name: written.append((name, real(rows, name))) or written[-1][1])
+    _, got = built(spark, idx, dims=4, block_entries=10_000)
+    held = written[0][1].select("block", F.explode("terms").alias("term")).groupBy("term").count()
+    assert held.select(F.max("count")).first()[0] > 1
+    several = {r.term for r in held.where("count > 1").collect()}
+    tables = [rows for name, rows in written if name == "word-vectors"]
+    # A pass writes the vectors of those words alone; in the end every word has one.
+    assert len(tables) == latent.PASSES and all({r.term for r in rows.collect()} == several for rows in tables)
+    assert len(several) < held.count() == got.words.count()
+
+
 def test_full_rank_search_is_the_cosine_search(spark, folder):
     """With every direction kept, latent neighbours are the tf-idf neighbours."""
     docs = named_documents(Tables(spark, folder).documents).where("doc_id < 30")
