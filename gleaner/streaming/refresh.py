@@ -101,7 +101,7 @@ def apply_versions(versions: DataFrame, batch: int, home: str) -> None:
         f"{home}/arrived/batch={batch}"
     )
     written = spark.read.parquet(f"{home}/arrived/batch={batch}")
-    counted_words(written.where("effect = 'changed'")).write.mode("overwrite").parquet(f"{home}/postings/batch={batch}")
+    counted_words(written.where("effect = 'changed'"), unique=True).write.mode("overwrite").parquet(f"{home}/postings/batch={batch}")
     # The changes go last: until they are there, the batch is not part of the live corpus.
     written.drop("text").write.mode("overwrite").parquet(f"{home}/changes/batch={batch}")
     tally = written.agg(

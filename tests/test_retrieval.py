@@ -255,3 +255,27 @@ def test_failed_build_keeps_the_old_index(spark):
     except RuntimeError:
         pass
     assert index.read_index(spark, path).docs.count() == 4
+
+
+def test_words_are_counted_on_the_documents_row(spark):
+    rows = [(1, "a", "b a b"), (2, "x", ""), (3, None, "Z z"), (4, "t", None)]
+    schema = "doc_id long, file_name string, text string"
+    counted = index.counted_words(spark.createDataFrame(rows, schema))
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.dl, r.term, r.tf, r.opens and r.opens.file_name) for r in counted.collect() if r.term) == [
+        (1, 3, "a", 1, None), (1, 3, "b", 2, "a"), (3, 2, "z", 2, None)
+    ]
+    assert sorted((r.doc_id, r.dl, r.tf) for r in counted.collect() if not r.term)[0] == (2, 0, 0)
+    # Repeated ids: counts of documents of one length add up, as rows of one document.
+    again = index.counted_words(spark.createDataFrame([*rows, (1, "a", "a a c"), (1, "b", "d")], schema)).where("doc_id = 1")
+    assert sorted((r.dl, r.term, r.tf) for r in again.collect()) == [(1, "d", 1), (3, "a", 3), (3, "b", 2), (3, "c", 1)]
+
+
+def test_norms_move_counts_to_documents_once(spark):
+    idx = index.plan_index(corpus(spark, "a b c", "a b b", "a"))
+    plan = idx.postings._jdf.queryExecution().optimizedPlan().toString()
+    # One join, with the words; the norm is a sum over a document's own rows.
+    assert plan.count("Join") == 1
+    found = {(r.doc_id, r.term): r.tf / r.norm for r in idx.postings.collect()}
+    weights = {(r.doc_id, r.term): r.weight for r in index.tfidf_vectors(corpus(spark, "a b c", "a b b", "a")).collect()}
+    assert set(found) == set(weights) and max(f for (d, t), f in found.items() if t == "a") > 0
