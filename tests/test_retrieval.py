@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import token_overlap, tokens
 from gleaner.operators import dense, fusion, index, search
 from gleaner.plans import retrieval
-from gleaner.session import new_folder
+from gleaner.session import new_folder, write_table
 from gleaner.sources.sinks import scan_documents
 from gleaner.sources.tables import Tables, benchmark_questions, named_documents, vector_corpus
 
@@ -279,3 +279,27 @@ def test_norms_move_counts_to_documents_once(spark):
     found = {(r.doc_id, r.term): r.tf / r.norm for r in idx.postings.collect()}
     weights = {(r.doc_id, r.term): r.weight for r in index.tfidf_vectors(corpus(spark, "a b c", "a b b", "a")).collect()}
     assert set(found) == set(weights) and max(f for (d, t), f in found.items() if t == "a") > 0
+
+
+def test_written_postings_move_once_and_have_the_norms_of_the_plan(spark, folder, monkeypatch):
+    docs = named_documents(Tables(spark, folder).documents)
+    counts = write_table(index.counted_words(docs).where("term is not null"), "counted")
+    # Most words too rare for the broadcast, and several parts of the documents.
+    monkeypatch.setattr(index, "BROADCAST_ROWS", 60)
+    norms = index._norms(counts, index.doc_frequencies(counts), docs.count())
+    plans = [p._jdf.queryExecution().executedPlan().toString() for p in index._normed(counts.select("doc_id", "term", "tf", "dl"), norms, 200, 16)]
+    assert len(plans) == 4 and not any("hashpartitioning(doc_id" in p.split("BroadcastExchange")[0] for p in plans)
+    planned = {(r.doc_id, r.term): r for r in index.plan_index(docs).postings.collect()}
+    for rows in (60, 1, 500_000):
+        monkeypatch.setattr(index, "BROADCAST_ROWS", rows)
+        some = docs if rows > 1 else docs.where("doc_id < 4")
+        path = new_folder(spark, "index")
+        index.build_index(some, path)
+        built = index.read_index(spark, path).postings.collect()
+        if rows > 1:
+            assert len(built) == len(planned)
+            for row in built:
+                other = planned[row.doc_id, row.term]
+                assert (row.bucket, row.tf, row.dl) == (other.bucket, other.tf, other.dl) and abs(row.norm - other.norm) < 1e-9
+        else:
+            assert len(built) == index.counted_words(some).where("term is not null").count()
