@@ -20,6 +20,7 @@ from gleaner.functions.fixed import (
 )
 from gleaner.functions.text import contains_any, is_blank, plain_quotes, quoted_list, unnest
 from gleaner.operators.drafts import references
+from gleaner.session import write_table
 
 
 def declines(explanation: Column) -> Column:
@@ -121,22 +122,25 @@ def unknown_names(prepared: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def score_answers(answers: DataFrame, catalog: DataFrame) -> DataFrame:
     """Adds score and reason to the answers; the first rule that applies decides."""
-    prepared = prepare(answers)
+    plain = F.when(is_trick(), trick_score()).when(~has_sql(), prose_score()).otherwise(coverage_score())
+    prepared = prepare(answers).select(
+        *answers.columns, "tables", "columns", (~is_trick() & has_sql()).alias("by_names"), plain.alias("plain")
+    )
+    # Read by both sides of the join: names are found once, and texts are not moved for the score.
+    prepared = write_table(prepared, "prepared-answers")
     joined = prepared.join(unknown_names(prepared, catalog), "draft_id", "left")
     result = (
-        F.when(is_trick(), trick_score())
-        .when(~has_sql(), prose_score())
-        .when(
-            F.size("bad_tables") > 0,
+        F.when(
+            F.col("by_names") & (F.size("bad_tables") > 0),
             _scored(0.0, F.concat(F.lit("Hallucinated table names: "), F.array_join("bad_tables", ", "))),
         )
         .when(
-            F.size("bad_columns") > 0,
+            F.col("by_names") & (F.size("bad_columns") > 0),
             _scored(
                 0.0, F.concat(F.lit("Referenced column(s) exist in no schema table: "), F.array_join("bad_columns", ", "))
             ),
         )
-        .otherwise(coverage_score())
+        .otherwise(F.col("plain"))
     )
     return joined.withColumn("result", result).select(*answers.columns, "result.score", "result.reason")
 

@@ -143,3 +143,23 @@ def test_reply_lists_errors(spark):
     rows = spark.createDataFrame([("text", False, ["e1", "e2"]), ("fine", True, [])], kinds)
     texts = [r.reply for r in assembly.replies(rows).collect()]
     assert texts[0].startswith("text") and texts[0].endswith("> - e1\n> - e2") and texts[1] == "fine"
+
+
+def test_names_are_found_once(spark):
+    rows = spark.createDataFrame(
+        [(i, q, "", ["loans"], ["loan_id"]) for i, q in enumerate(("SELECT l.loan_id FROM loans l", "SELECT x.y FROM nowhere n", ""))],
+        "draft_id long, sql string, explanation string, expected_tables array<string>, expected_columns array<string>",
+    )
+    # Both sides of the join read what was found: no plan searches a text again.
+    for found in (drafts.validate(rows, catalog(spark), DOMAINS, ENTITY), scoring.score_answers(rows, catalog(spark))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" in plan and "regexp_extract_all" not in plan
+        assert found.count() == 3
+
+
+def test_the_first_dialect_error_and_codes_of_any_case(spark):
+    texts = ["a::b limit 1", "limit 1 :: x", "`a` limit", "'limit' [::] --limit", None, "where STATUS_CD = 'A'", "status = 'A'"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").orderBy("i")
+    found = rows.select(drafts.dialect_error(F.col("t")).alias("e"), drafts.code_literals(F.col("t")).alias("c")).collect()
+    assert [r.e and r.e[:12] for r in found[3:]] == [None] * 4 and found[0].e != found[1].e and len({r.e for r in found[:3]}) == 3
+    assert [r.c for r in found] == [[], [], [], [], None, ["A"], []]
