@@ -102,7 +102,9 @@ def _fit(sample: DataFrame, n_lists: int, metric: str, scale: float) -> np.ndarr
                     np.add.at(total, near, x)
                     count += np.bincount(near, minlength=len(total))
             held = np.flatnonzero(count)
-            yield pd.DataFrame({"list": held, "n": count[held], "total": list(total[held])})
+            # A task without rows, as of a split without a row group, gives none: an empty column of lists has no type.
+            if len(held):
+                yield pd.DataFrame({"list": held, "n": count[held], "total": list(total[held])})
 
         # A row per task and list comes in, one per list goes out.
         partial = sample.mapInPandas(sums, "list long, n long, total array<double>").select("list", "n", F.posexplode("total").alias("at", "x"))

@@ -69,6 +69,14 @@ def test_lists_do_not_depend_on_how_rows_are_dealt(spark):
     assert pairs[0] == pairs[1] and len(pairs[0]) == 450
 
 
+def test_fit_with_tasks_without_rows(spark):
+    vectors = vector_frame(spark, [(i, (i, i % 3)) for i in range(40)], "doc_id")
+    few = vectors.repartition(7, "doc_id").where("doc_id < 3")
+    assert 0 in few.rdd.glom().map(len).collect()
+    fits = [inverted_lists._fit(rows, 2, "l2", 16.0) for rows in (few, few.coalesce(1))]
+    assert (fits[0] == fits[1]).all()
+
+
 def test_odd_vectors(spark):
     nan = float("nan")
     rows = [(0, (1, 0)), (1, (nan, 1)), (3, None), (4, (1, 2, 3)), (5, (float("inf"), 0)), (6, ()), (7, (0, 0)), (8, (1, 0)), (None, (2, 2)), (0, (1, 0))]
