@@ -12,7 +12,7 @@ from gleaner.operators import index, refresh, search, snapshots
 from gleaner.plans import retrieval
 from gleaner.plans.fixtures import answers
 from gleaner.plans.retrieval import build_index
-from gleaner.session import new_folder
+from gleaner.session import broadcast_parts, new_folder, write_table
 from gleaner.sources import sinks
 from gleaner.sources.tables import Tables, benchmark_questions, named_documents
 from gleaner.streaming import refresh as stream
@@ -35,10 +35,12 @@ def document_versions(docs):
     """Version 1 is the old snapshot; version 2 holds what the new one changes, adds or removes."""
     old, new = snapshot_old(docs), snapshot_new(docs)
     first = old.select("doc_id", F.lit(1).cast("long").alias("version"), "file_name", "text", F.lit(False).alias("deleted"))
-    changes = snapshots.corpus_diff(snapshots.document_hashes(old), snapshots.document_hashes(new))
-    second = changes.join(new, "doc_id", "left").select(
-        "doc_id", F.lit(2).cast("long").alias("version"), "file_name", "text", (F.col("change") == "removed").alias("deleted")
-    )
+    changes = write_table(snapshots.corpus_diff(snapshots.document_hashes(old), snapshots.document_hashes(new)), "changes")
+    gone, there = changes.where("change = 'removed'"), changes.where("change <> 'removed'")
+    second = gone.select("doc_id", *[F.lit(None).cast("string").alias(c) for c in ("file_name", "text")], F.lit(True).alias("deleted"))
+    for part in broadcast_parts(there, "doc_id"):
+        second = second.unionByName(new.join(part.select("doc_id"), "doc_id").select("doc_id", "file_name", "text", F.lit(False).alias("deleted")))
+    second = second.select("doc_id", F.lit(2).cast("long").alias("version"), "file_name", "text", "deleted")
     return first, second
 
 

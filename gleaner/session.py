@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +62,13 @@ def broadcast_if_small(rows: DataFrame, n_rows: int) -> DataFrame:
     return F.broadcast(rows) if n_rows <= BROADCAST_ROWS else rows
 
 
+def broadcast_parts(rows: DataFrame, key: str) -> Iterator[DataFrame]:
+    """A written side of a join, however large, in bounded broadcasts: the other side stays where it is and is read once a part."""
+    parts = max(1, math.ceil(rows.count() / BROADCAST_ROWS))
+    for part in range(parts):
+        yield F.broadcast(rows if parts == 1 else rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part))
+
+
 def small_side(rows: DataFrame, name: str) -> DataFrame:
     """A written side of a join with a much larger one, broadcast if its rows are few: the larger one then stays where it is."""
     written = write_table(rows, name)

@@ -3,7 +3,8 @@
 A file stream does not see files edited in place or removed, so it reads
 immutable records: (doc_id, version, file_name, text, deleted). Each batch
 takes the latest version per document, drops those older than what is known
-(deletions included), and writes the rest:
+(deletions included), and writes the rest. All that is told by hashes; texts
+never move, those that changed are read once more where they are:
 
 - `changes/batch=N`    doc_id, version, file_name, sha, deleted, effect, posted
 - `postings/batch=N`   the counted words of changed documents
@@ -26,7 +27,7 @@ from pyspark.sql.streaming import StreamingQuery
 from gleaner.operators.index import BUCKETS, Index, counted_words, read_index, write_index
 from gleaner.operators.ordered import latest_rows
 from gleaner.operators.snapshots import document_hash
-from gleaner.session import read_if_there, write_table
+from gleaner.session import broadcast_parts, read_if_there, write_table
 
 VERSIONS = "doc_id long, version long, file_name string, text string, deleted boolean"
 CHANGES = "doc_id long, version long, file_name string, sha string, deleted boolean, effect string, posted long, batch long"
@@ -77,6 +78,24 @@ def compact(spark: SparkSession, home: str, target: str) -> None:
         rows.hint("rebalance").write.partitionBy("batch").parquet(f"{target}/{name}")
 
 
+def _newest_rows(versions: DataFrame) -> DataFrame:
+    """(doc_id, version, file_name, sha, deleted, n): the newest version of every document, which `n` rows deliver."""
+    rows = versions.select("doc_id", "version", F.struct("file_name", document_hash().alias("sha"), "deleted").alias("row"))
+    rows = rows.groupBy("doc_id", "version").agg(F.max("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    return latest_rows(rows.select("doc_id", "version", "row.*", "n"), ["doc_id"], ["version"], ["version", "file_name", "sha", "deleted", "n"])
+
+
+def _texts(versions: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """(doc_id, file_name, text) of the versions in `wanted`, a broadcast; only rows that came several times move, to be one."""
+    wanted = wanted.select(*[F.col(c).alias(f"wanted_{c}") for c in ("doc_id", "version", "sha")], "n")
+    met = versions.join(wanted, (F.col("doc_id") == F.col("wanted_doc_id")) & F.col("version").eqNullSafe(F.col("wanted_version")))
+    found = met.where("n = 1").select("doc_id", "file_name", "text")
+    if not repeated:
+        return found
+    several = met.where((F.col("n") > 1) & (document_hash() == F.col("wanted_sha"))).select("doc_id", "file_name", "text")
+    return found.unionByName(several.dropDuplicates(["doc_id"]))
+
+
 def apply_versions(versions: DataFrame, batch: int, home: str) -> None:
     """One batch: find what it changes against all earlier batches, and write that."""
     spark = versions.sparkSession
@@ -87,8 +106,7 @@ def apply_versions(versions: DataFrame, batch: int, home: str) -> None:
         F.when(~F.col("deleted"), F.col("sha")).alias("live_sha"),
         F.col("posted").alias("live_posted"),
     )
-    arrived = latest_rows(versions, ["doc_id"], ["version"], ["version", "file_name", "text", "deleted"])
-    compared = arrived.withColumn("sha", document_hash()).join(known, "doc_id", "left")
+    compared = _newest_rows(versions).join(known, "doc_id", "left")
     is_new = F.col("known_version").isNull() | (F.col("version") > F.col("known_version"))
     effect = F.when(F.col("deleted"), F.when(F.col("is_live"), "removed")).otherwise(
         F.when(~F.col("sha").eqNullSafe(F.col("live_sha")), "changed")
@@ -96,14 +114,18 @@ def apply_versions(versions: DataFrame, batch: int, home: str) -> None:
     changed = compared.where(is_new).withColumn("effect", effect)
     posted = F.when(F.col("effect") == "changed", F.lit(batch)).when(~F.col("deleted"), F.col("live_posted"))
     changed = changed.withColumn("posted", posted.cast("long"))
-    # Text and all, so that the changes are worked out once.
-    changed.select("doc_id", "version", "file_name", "sha", "deleted", "effect", "posted", "text").write.mode("overwrite").parquet(
+    # Written, so that the changes are worked out once.
+    changed.select("doc_id", "version", "file_name", "sha", "deleted", "effect", "posted", "n").write.mode("overwrite").parquet(
         f"{home}/arrived/batch={batch}"
     )
     written = spark.read.parquet(f"{home}/arrived/batch={batch}")
-    counted_words(written.where("effect = 'changed'"), unique=True).write.mode("overwrite").parquet(f"{home}/postings/batch={batch}")
+    new_texts = written.where("effect = 'changed'").select("doc_id", "version", "sha", "n")
+    repeated = not new_texts.where("n > 1").isEmpty()
+    for at, part in enumerate(broadcast_parts(new_texts, "doc_id")):
+        posted_words = counted_words(_texts(versions, part, repeated), unique=True)
+        posted_words.write.mode("append" if at else "overwrite").parquet(f"{home}/postings/batch={batch}")
     # The changes go last: until they are there, the batch is not part of the live corpus.
-    written.drop("text").write.mode("overwrite").parquet(f"{home}/changes/batch={batch}")
+    written.drop("n").write.mode("overwrite").parquet(f"{home}/changes/batch={batch}")
     tally = written.agg(
         F.count_if(F.col("effect") == "changed").alias("docs_changed"), F.count_if(F.col("effect") == "removed").alias("docs_removed")
     )

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gleaner import session
 from gleaner.functions import tsql
 from gleaner.operators import conversation, index, metadata, ordered, refresh, snapshots, warehouse
 from gleaner.session import new_folder
@@ -150,6 +151,23 @@ def test_late_versions_are_told_by_all_that_came_before(spark):
     assert {(r.doc_id, r.term) for r in stream.live_postings(spark, home).collect()} == {(1, "back"), (2, "two")}
 
 
+def test_texts_of_a_batch_stay_where_they_are(spark, monkeypatch):
+    """Changes are told by hashes, in bounded broadcasts; repeated rows of one version count once."""
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 2)
+    home, counts, real = new_folder(spark, "stream"), [], stream.counted_words
+    monkeypatch.setattr(stream, "counted_words", lambda docs, **options: counts.append(docs) or real(docs, **options))
+    rows = [(i, 1, f"f{i}", f"w{i} w{i} x", False) for i in range(7)]
+    rows += [(3, 1, "f3", "w3 w3 x", False), (4, 2, "f4", "new", False), (5, 2, "f5", None, True), (6, None, "f6", "none", False), (7, None, "f7", "a a", False)]
+    stream.apply_versions(spark.createDataFrame(rows, stream.VERSIONS), 0, home)
+    assert len(counts) > 1
+    plans = [docs._jdf.queryExecution().executedPlan().toString() for docs in counts]
+    assert all("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan for plan in plans)
+    assert "text" not in spark.read.parquet(f"{home}/arrived").columns
+    words = {(r.doc_id, r.term, r.tf, r.dl) for r in stream.live_postings(spark, home).collect()}
+    expected = {(i, w, n, 3) for i in (0, 1, 2, 3, 6) for w, n in ((f"w{i}", 2), ("x", 1))} | {(4, "new", 1, 1), (7, "a", 2, 2)}
+    assert words == expected and stream.live_postings(spark, home).count() == len(expected)
+
+
 def test_live_index_is_a_full_build_and_outlives_compaction(spark):
     home, target = new_folder(spark, "stream"), new_folder(spark, "compact")
     versions = lambda *rows: spark.createDataFrame(rows, stream.VERSIONS)
