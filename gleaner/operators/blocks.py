@@ -66,8 +66,11 @@ def build_blocks(index: Index, path: str, *, block_docs: int = BLOCK_DOCS, k1: f
     # Postings move once, to their bucket and range of blocks: some 250,000 together, however common the words.
     n_postings = index.terms.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     n_ranges = math.ceil(max(1, n_postings) / (BLOCK_POSTINGS // 4) / index.corpus.select("buckets").first()[0])
-    dealt = index.postings.withColumn("block", block_of(F.col("doc_id"), n_blocks)).withColumn("range", F.col("block") % n_ranges)
-    dealt = dealt.repartition(math.ceil(max(1, n_postings) / BLOCK_POSTINGS), "bucket", "range")
+    # Blocks are worked out again there, so that they do not move.
+    block = block_of(F.col("doc_id"), n_blocks)
+    dealt = index.postings.select("bucket", "term", "doc_id", "tf", "dl")
+    dealt = dealt.repartition(math.ceil(max(1, n_postings) / BLOCK_POSTINGS), F.col("bucket"), block % n_ranges)
+    dealt = dealt.withColumns({"block": block, "range": block % n_ranges})
     # A group is a word's postings in one block: bounded, however common the word.
     grouped = dealt.groupBy("range", *WORD_BLOCK)
     packed = grouped.agg(F.max(impact).alias("max_impact"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("postings"))
