@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import pickle
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,8 @@ DENSE = 64
 SLACK = 0.05
 # Pairs whose vectors are gathered at a time.
 GATHERED = 65_536
+# (query, vector) pairs a task holds at a time: what was seen takes a byte each, links some 40.
+HELD_PAIRS = 8_000_000
 BATCH = 512
 EXPANDED = 4
 
@@ -61,11 +64,19 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def _singles(vectors: np.ndarray) -> np.ndarray:
+    """`unit` in single precision, with double precision for some rows at a time."""
+    out = np.empty(vectors.shape, dtype=np.float32)
+    for start in range(0, len(out), GATHERED // 8):
+        out[start : start + GATHERED // 8] = unit(vectors[start : start + GATHERED // 8])
+    return out
+
+
 class Graph:
     """A layered neighbour graph over unit vectors; batches of queries move through it in step."""
 
     def __init__(self, vectors: np.ndarray):
-        self.x = unit(vectors).astype(np.float32)
+        self.x = _singles(vectors)
         n = len(self.x)
         rng = np.random.default_rng(n)
         levels = np.minimum((-np.log(1.0 - rng.random(n)) / np.log(NEIGHBOURS)).astype(int), 6)
@@ -219,19 +230,19 @@ class Graph:
             spent[rows] = np.take_along_axis(all_spent, best, axis=1)
         return ids, sims, seen, met
 
-    def within(self, asked: np.ndarray, beam: int, low: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, id) of all found with a cosine of `low` or more, once each, by query. A beam that is full
-        has let ids go: the search goes on from those of at least nearly that cosine, and expands no others."""
-        n, edge, out = len(self.x), low - SLACK, []
-        # What was seen takes a byte for each (query, vector), beams some bytes each.
-        step = max(1, min(BATCH, 64_000_000 // n, 4_000_000 // beam))
+    def within(self, asked: np.ndarray, beam: int, low: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, id) of all found with a cosine of `low` or more, once each, by query; all of some queries at a time,
+        so that no group of links is held whole. A beam that is full has let ids go: the search goes on from those
+        of at least nearly that cosine, and expands no others."""
+        n, edge = len(self.x), low - SLACK
+        step = max(1, min(BATCH, HELD_PAIRS // n, 4_000_000 // beam))
         for start in range(0, len(asked), step):
             some = asked[start : start + step]
             ids, sims, seen, met = self.search(some, beam, 0, edge)
             rows, found, scores = (np.concatenate(x) for x in zip(*met))
             done = (np.arange(len(some))[:, None] * n + ids)[sims >= edge]
             keys = rows.astype(np.int64) * n + found
-            out.append(keys[scores >= low] + start * n)
+            out = [keys[scores >= low]]
             todo = keys[~np.isin(keys, done)] if len(keys) > len(done) else keys[:0]
             while len(todo):
                 now, todo = todo[:GATHERED], [todo[GATHERED:]]
@@ -243,11 +254,11 @@ class Graph:
                 for at in range(0, len(near), GATHERED):
                     part = near[at : at + GATHERED]
                     scores = np.einsum("kd,kd->k", self.x[part % n], some[part // n])
-                    out.append(part[scores >= low] + start * n)
+                    out.append(part[scores >= low])
                     todo.append(part[scores >= edge])
                 todo = np.concatenate(todo)
-        keys = np.sort(np.concatenate(out)) if out else np.zeros(0, dtype=np.int64)
-        return keys // n, keys % n
+            keys = np.sort(np.concatenate(out))
+            yield start + keys // n, keys % n
 
 
 class Audit:
@@ -258,7 +269,7 @@ class Audit:
         rng = np.random.default_rng(len(asked))
         n, d = graph.x.shape
         drawn = rng.permutation(len(asked))[:AUDITED]
-        near = asked[drawn] @ graph.x.T >= least
+        near = np.concatenate([asked[drawn[i : i + 32]] @ graph.x.T >= least for i in range(0, len(drawn), 32)])
         at = np.flatnonzero(own[drawn] >= 0)
         near[at, own[drawn][at]] = False
         linked = np.flatnonzero(near.any(axis=1))
@@ -273,56 +284,70 @@ class Audit:
         planted = np.where(length > 1e-6, cosine * graph.x[origin] + np.sqrt(1 - cosine**2) * aside / np.maximum(length, 1e-6), graph.x[origin])
         self.graph, self.low = graph, least - 1e-4
         self.asked = np.concatenate((asked[drawn[linked]], planted)).astype(np.float32)
-        self.wanted = np.zeros((len(self.asked), n), dtype=bool)
-        self.wanted[: len(linked)] = near[linked]
-        self.wanted[len(linked) + np.arange(len(origin)), origin] = True
+        self.wanted, self.origin = near[linked], origin
         self.kind = np.concatenate((np.where(self.few, 0, 1), np.full(len(origin), 2)))
 
     def recall(self, beam: int) -> list[float]:
         """For queries of few links, of many, and planted ones: the mean share found; 1 where there are none."""
-        hit = np.zeros_like(self.wanted)
-        hit[self.graph.within(self.asked, beam, self.low)] = True
-        shares = (hit & self.wanted).sum(axis=1) / self.wanted.sum(axis=1)
+        shares, n_linked = np.zeros(len(self.asked)), len(self.wanted)
+        for query, found in self.graph.within(self.asked, beam, self.low):
+            real = query < n_linked
+            shares += np.bincount(query[real], self.wanted[query[real], found[real]], minlength=len(shares))
+            query, found = query[~real], found[~real]
+            shares[query[self.origin[query - n_linked] == found]] = 1
+        shares[:n_linked] /= self.wanted.sum(axis=1)
         return [float(shares[self.kind == k].mean()) if (self.kind == k).any() else 1.0 for k in range(3)]
 
 
-def linked(graph: Graph, asked: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, list[float]]:
-    """(query, id) of all found with a cosine of about `least` or more, the beam used and its audited recall."""
-    own = np.full(len(asked), -1) if own is None else own
+def wide_enough(graph: Graph, asked: np.ndarray, least: float, own: np.ndarray) -> tuple[int, list[float]]:
+    """The beam that passes the audit, and its recall."""
     audit, beam = Audit(graph, asked, own, least), min(BEAM, len(graph.x))
     recall = audit.recall(beam)
     while min(recall) < RECALL and beam < len(graph.x):
         beam = min(2 * beam, len(graph.x))
         recall = audit.recall(beam)
-    return *graph.within(asked, beam, least - 1e-4), beam, recall
+    return beam, recall
+
+
+def linked(graph: Graph, asked: np.ndarray, least: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, list[float]]:
+    """(query, id) of all found with a cosine of about `least` or more, the beam used and its audited recall."""
+    own = np.full(len(asked), -1) if own is None else own
+    beam, recall = wide_enough(graph, asked, least, own)
+    queries, found = zip(*graph.within(asked, beam, least - 1e-4))
+    return np.concatenate(queries), np.concatenate(found), beam, recall
 
 
 def _build(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("node")
     vectors = np.stack(rows["vector"].to_numpy())
     parts = vars(Graph(vectors))
-    # Unit vectors are made again from the given ones.
+    # Unit vectors are made again from the given ones, and upper layers from the rows of their few nodes.
     del parts["x"]
+    parts["near"][1:] = [(at := np.flatnonzero((layer >= 0).any(axis=1)), layer[at]) for layer in parts["near"][1:]]
     blob = pickle.dumps((rows["node"].to_numpy(), rows["copies"].to_numpy(), vectors, parts))
     return pd.DataFrame({"dim": [rows["dim"].iloc[0]], "shard": [rows["shard"].iloc[0]], "graph": [blob]})
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of links (a, b): one link from each node to the smallest node of its component. Rounds as in `components`."""
-    names, places = np.unique(np.concatenate((a, b)), return_inverse=True)
-    a, b = places[: len(a)], places[len(a) :]
-    root = np.arange(len(names))
-    while True:
-        least = root.copy()
-        np.minimum.at(least, root[a], root[b])
-        np.minimum.at(least, root[b], root[a])
-        least = np.minimum(least, least[root])
-        least = least[least]
-        if (least == root).all():
-            break
-        root = least
-    below = np.flatnonzero(root < np.arange(len(names)))
-    return names[root[below]], names[below]
+def _unpacked(vectors: np.ndarray, parts: dict) -> Graph:
+    graph = Graph.__new__(Graph)
+    graph.__dict__.update(parts, x=_singles(vectors))
+    for level, (at, layer) in enumerate(graph.near[1:], 1):
+        graph.near[level] = np.full((len(vectors), layer.shape[1]), -1, dtype=np.int32)
+        graph.near[level][at] = layer
+    return graph
+
+
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`root`, the smallest member of each one's component, after the links (a, b)."""
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+    return root
 
 
 def _met(least: float):
@@ -330,29 +355,34 @@ def _met(least: float):
         if not len(graphs) or not len(rows):
             return pd.DataFrame({name: np.zeros(0) for name in FOUND})
         nodes, copies, vectors, parts = pickle.loads(graphs["graph"].iloc[0])
-        exact = unit(vectors)
-        graph = Graph.__new__(Graph)
-        graph.__dict__.update(parts, x=exact.astype(np.float32))
+        graph = _unpacked(vectors, parts)
         rows = rows.sort_values("node")
         asked, own = unit(np.stack(rows["vector"].to_numpy())), rows["node"].to_numpy()
         # Nodes of a graph are in order.
         at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
         places = np.where(nodes[at] == own, at, -1)
-        query_, found, beam, recall = linked(graph, asked.astype(np.float32), least, places)
-        sure = np.zeros(len(found), dtype=bool)
-        for start in range(0, len(found), GATHERED):
-            q, f = query_[start : start + GATHERED], found[start : start + GATHERED]
-            sure[start : start + GATHERED] = (np.einsum("kd,kd->k", exact[f], asked[q]) >= least) & (places[q] != f)
-        query_, found = query_[sure], found[sure]
-        others = np.bincount(query_, minlength=len(own))
-        weight = np.bincount(query_, weights=copies[found], minlength=len(own)).astype(np.int64)
-        dense = np.flatnonzero(others >= DENSE)
-        few = others[query_] < DENSE
-        top, low = _forest(own[query_], nodes[found])
+        single = asked.astype(np.float32)
+        beam, recall = wide_enough(graph, single, least, places)
+        names, at = np.unique(np.concatenate((nodes, own)), return_inverse=True)
+        root, pairs = np.arange(len(names)), [(own[:0], nodes[:0])]
+        others, weight = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=np.int64)
+        for query_, found in graph.within(single, beam, least - 1e-4):
+            sure = np.zeros(len(found), dtype=bool)
+            for start in range(0, len(found), GATHERED // 8):
+                q, f = query_[start : start + GATHERED // 8], found[start : start + GATHERED // 8]
+                sure[start : start + GATHERED // 8] = (np.einsum("kd,kd->k", unit(vectors[f]), asked[q]) >= least) & (places[q] != f)
+            query_, found = query_[sure], found[sure]
+            others += np.bincount(query_, minlength=len(own))
+            weight += np.bincount(query_, weights=copies[found], minlength=len(own)).astype(np.int64)
+            root = _joined(root, at[len(nodes) :][query_], at[found])
+            few = others[query_] < DENSE
+            pairs.append((own[query_[few]], nodes[found[few]]))
+        dense, low = np.flatnonzero(others >= DENSE), np.flatnonzero(root < np.arange(len(names)))
+        a, b = (np.concatenate(column) for column in zip(*pairs))
         parts = [
-            (PAIR, own[query_[few]], nodes[found[few]], 0),
+            (PAIR, a, b, 0),
             (COUNT, own[dense], -1, weight[dense]),
-            (EDGE, top, low, 0),
+            (EDGE, names[root[low]], names[low], 0),
         ]
         out = [pd.DataFrame({"kind": kind, "a": a, "b": b, "n": n}) for kind, a, b, n in parts]
         audit = pd.DataFrame({"kind": [AUDIT], "a": [key[2]], "b": [beam], "n": [len(own)], "few": recall[0], "many": recall[1], "planted": recall[2]})

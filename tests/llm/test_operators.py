@@ -1,11 +1,13 @@
 """The training-data operators on small tables: brute force, odd inputs, defined results."""
 
 import itertools
+import tracemalloc
 import zlib
 from collections import Counter
 
 import ahocorasick  # noqa: F401  the automaton's package must be there
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -339,6 +341,25 @@ def test_dense_and_small_groups_over_several_shards(spark, monkeypatch):
     assert len(found) < 1600 * 6 * 4 and sum(r.kind == hnsw.COUNT for r in found) >= 700
 
 
+def test_a_search_task_holds_no_square_of_a_dense_group(monkeypatch):
+    monkeypatch.setattr(hnsw, "HELD_PAIRS", 200_000, raising=False)
+    rng = np.random.default_rng(11)
+    x = np.concatenate((1 + 0.01 * rng.normal(size=(2000, 16)), rng.normal(size=(500, 16)))).astype(np.float32)
+    rows = pd.DataFrame({"dim": 16, "shard": 0, "node": np.arange(len(x)), "copies": 1, "vector": list(x)})
+    graph = hnsw._build(rows)
+    tracemalloc.start()
+    found = hnsw._met(0.9)((16, 0, 0), graph, rows[["node", "vector"]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts, roots = links_of(x)
+    got = dict(zip(found["a"][found["kind"] == hnsw.COUNT], found["n"][found["kind"] == hnsw.COUNT]))
+    assert {i: n for i, n in enumerate(counts.tolist()) if n >= hnsw.DENSE} == got and len(got) >= 2000
+    edges = found[found["kind"] == hnsw.EDGE]
+    assert dict(zip(edges["b"], edges["a"])) == {i: root for i, root in enumerate(roots) if i != root}
+    # Four million links of some 150 bytes each are never together.
+    assert peak < 120_000_000
+
+
 # op5
 
 
