@@ -2,28 +2,33 @@
 
 The matrix A (a unit row per document, a column per word) is factored by subspace iteration from random
 signs. It is dealt into blocks of documents of some BLOCK_ENTRIES entries, packed once and written. A pass makes
-D = A Q, a row per document, and Y = A'D, a row per word, so no matrix ever is in one place. Documents are far fewer
-than words, so D is what is written. Of Y only the rows of words in several blocks move: summed over the blocks, and
-back to each block that has the word. A word of one block has its row of Y made there from D, and first signs are shipped as bits.
+Y = A'D, a row per word, and A Y, a row per document, a few columns of these in each task: a task reads the blocks one
+after the other and holds its columns alone. So what moves in a pass is the columns themselves, however many blocks there are:
+those of Y for words of several blocks, written once, and those of D. A word of one block has its row of Y made there from D.
 Only matrices of (dims + EXTRA) squared numbers pass the driver. A text's vector is its tf-idf
 row times the singular vectors, for documents and questions alike.
 
-The written vectors are two tables, `words` (term, vector) and `docs` (doc_id, vector). Every document with a
-word has a vector; texts without a known word have none. Fewer dimensions come out where A has a lower rank.
-A document whose entries outnumber a block is a block of its own. Repeated doc_ids count as one document.
+The written vectors are two tables, `words` (term, vector) and `docs` (doc_id, vector); `numbers` has the places of
+words of several blocks in the columns. Every document with a word has a vector; texts without a known word have none.
+Fewer dimensions come out where A has a lower rank. A document whose entries outnumber a block is a block of its own.
+Repeated doc_ids count as one document.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.index import Index, smooth_idf
@@ -34,15 +39,22 @@ DIMS = 64
 # Columns beyond the wanted ones, and passes before the last: both sharpen the last dimensions.
 EXTRA = 16
 PASSES = 3
-# Some 40 bytes each in a task, and a row of Y for every word of several blocks.
-BLOCK_ENTRIES = 4_000_000
+# Some 150 bytes each in a task that packs, 50 in one that reads.
+BLOCK_ENTRIES = 1_000_000
 BLOCK_DOCS = 200_000
+# Of the columns in one task: a number for every document and every word of several blocks.
+COLUMN_BYTES = 128 * 1024 * 1024
+# Words that are numbered in one task.
+PART_WORDS = 100_000
 # Directions with less than this part of the largest squared length are rounding errors.
 TINY = 1e-12
-PACKED = "block long, docs binary, norms binary, starts binary, steps binary, counts binary, idfs binary, terms array<string>"
-# D of a block's documents, and Y'Y of the words that no other block has.
-STATE = "block long, found binary, squares binary"
-SIGNS_A_LONG = 32
+ENTRIES = ("starts", "steps", "counts", "norms", "dfs", "numbers", "alone")
+# `found` is the block's rows of A times the first signs.
+PACKED = "block long, docs binary, " + "".join(f"{name} binary, " for name in ENTRIES) + "terms array<string>, found binary"
+# A Y of a block's documents, with D' A Y, which sums up to Y'Y, and (A Y)' A Y.
+STATE = "block long, found binary, squares binary, lengths binary"
+# Rows of vectors that a task gives at a time.
+GIVEN = 10_000
 
 # Tasks get this module's functions with the job; executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -54,205 +66,279 @@ class Latent:
     docs: DataFrame
 
 
-def _pack(rows: pd.DataFrame) -> pd.DataFrame:
-    """One block's entries as sorted runs per document. Word counts and `steps` from place to place in `terms` compress
-    well; weights are made of them."""
-    rows = rows.sort_values(["doc_id", "term"], kind="stable")
-    terms, firsts, places = np.unique(rows["term"].to_numpy(dtype=str), return_index=True, return_inverse=True)
-    docs, starts = np.unique(rows["doc_id"].to_numpy(dtype=np.int64), return_index=True)
-    return pd.DataFrame({
-        "block": [int(rows["block"].iloc[0])],
-        "docs": [docs.tobytes()],
-        "norms": [rows["norm"].to_numpy(dtype=np.float64)[starts].tobytes()],
-        "starts": [starts.astype(np.int64).tobytes()],
-        "steps": [np.diff(places, prepend=0).astype(np.int32).tobytes()],
-        "counts": [rows["tf"].to_numpy(dtype=np.int32).tobytes()],
-        "idfs": [rows["idf"].to_numpy(dtype=np.float64)[firsts].tobytes()],
-        "terms": [terms.tolist()],
-    })
-
-
-def packed_rows(index: Index, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
-    """A in blocks of documents, a written table of PACKED rows."""
-    n_docs = index.corpus.select("n_docs").scalar()
-    entries, docs = index.terms.agg(F.sum("df")).first()[0] or 0, index.corpus.first().n_docs
-    n_blocks = max(1, math.ceil(entries / block_entries), math.ceil(docs / BLOCK_DOCS))
-    idfs = index.terms.select("term", smooth_idf(F.col("df"), n_docs).alias("idf"))
-    postings = index.postings.where("doc_id is not null").join(idfs, "term")
-    entries = postings.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).alias("block"), "doc_id", "term", "tf", "idf", "norm")
-    return write_table(entries.groupBy("block").applyInPandas(_pack, PACKED), "packed-rows")
+def _signs(words: list[bytes], columns: int) -> Iterator[np.ndarray]:
+    """Column i, from 1: a sign a word, the last bit of Spark's xxhash64(word, i), so that a rebuilt index has the same vectors."""
+    rounds = np.array([11400714785074694791, 14029467366897019727, 1609587929392839161, 2870177450012600261], dtype=np.uint64)
+    seeds = np.array([xxhash.xxh64_intdigest(word, 42) for word in words], dtype=np.uint64)
+    for i in range(1, columns + 1):
+        x = (seeds + rounds[3] + np.uint64(4)) ^ (np.uint64(i) * rounds[:1])
+        x = (x << np.uint64(23) | x >> np.uint64(41)) * rounds[1] + rounds[2]
+        x = (x ^ x >> np.uint64(33)) * rounds[1]
+        x = (x ^ x >> np.uint64(29)) * rounds[2]
+        yield ((x ^ x >> np.uint64(32)) & np.uint64(1)) * 2.0 - 1.0
+
+
+def _idfs(dfs: np.ndarray, n_docs: int) -> np.ndarray:
+    """`smooth_idf` of the index."""
+    return np.log((n_docs + 1) / (dfs + 1)) + 1
+
+
+def _packer(n_docs: int, width: int) -> Callable[[pa.Table], pa.Table]:
+    def pack(rows: pa.Table) -> pa.Table:
+        """One block's entries as sorted runs per document: word counts and `steps` from place to place in `terms`, which compress
+        well, the documents' lengths, and the entries of words that no other block has."""
+        term = rows["term"].combine_chunks().dictionary_encode()
+        by = pc.sort_indices(term.dictionary).to_numpy()
+        rank = np.empty(len(by), dtype=np.int64)
+        rank[by] = np.arange(len(by))
+        docs, at = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
+        places = rank[term.indices.to_numpy()]
+        order = np.lexsort((places, at))
+        places, at = places[order], at[order]
+        dfs, numbers = np.zeros(len(by), dtype=np.int64), np.zeros(len(by), dtype=np.int32)
+        dfs[places], numbers[places] = rows["df"].to_numpy()[order], rows["number"].to_numpy()[order]
+        terms = term.dictionary.take(pa.array(by)).to_pylist()
+        counts, starts = rows["tf"].to_numpy()[order].astype(np.int32), np.flatnonzero(np.diff(at, prepend=-1))
+        norms = np.sqrt(np.add.reduceat((counts * _idfs(dfs, n_docs)[places]) ** 2, starts))
+        packed = {
+            "block": rows["block"][0].as_py(),
+            "docs": docs.tobytes(),
+            "starts": starts.tobytes(),
+            "steps": np.diff(places, prepend=0).astype(np.int32).tobytes(),
+            "counts": counts.tobytes(),
+            "norms": norms.tobytes(),
+            "dfs": dfs.tobytes(),
+            "numbers": numbers.tobytes(),
+            "alone": np.flatnonzero(numbers[places] < 0).tobytes(),
+            "terms": terms,
+        }
+        block = _Block(packed, n_docs)
+        found = np.stack([block.times(column) for column in _signs([t.encode() for t in terms], width)], axis=1)
+        schema = pa.schema([(name, {"long": pa.int64(), "binary": pa.binary()}.get(kind, pa.list_(pa.string()))) for name, kind in (x.split() for x in PACKED.split(", "))])
+        return pa.Table.from_pylist([packed | {"found": found.tobytes()}], schema)
+
+    return pack
+
+
+def _numbered_words(postings: DataFrame, terms: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """(term, df, number) of all words and how many have a number; numbers are from 0 on, -1 for words of one block."""
+    held = postings.groupBy("term").agg((F.min("block") < F.max("block")).alias("several"))
+    parts = max(16, math.ceil(terms.count() / PART_WORDS))
+    part = F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
+    place = F.row_number().over(Window.partitionBy("part", "several").orderBy("term")) - 1
+    found = terms.select("term", "df").join(held, "term").withColumn("part", part)
+    found.withColumn("place", F.when(F.col("several"), place)).drop("several").write.parquet(f"{path}/numbers")
+    found = terms.sparkSession.read.parquet(f"{path}/numbers")
+    sizes = {r["part"]: r["n"] for r in found.groupBy("part").agg(F.count("place").alias("n")).collect()}
+    firsts = np.cumsum([0, *(sizes.get(i, 0) for i in range(parts))]).tolist()
+    first = F.get(F.array(*[F.lit(n).cast("long") for n in firsts]), F.col("part"))
+    return found.select("term", "df", F.coalesce(first + F.col("place"), F.lit(-1)).alias("number")), firsts[-1]
+
+
+def packed_rows(index: Index, path: str, width: int, block_entries: int = BLOCK_ENTRIES) -> tuple[DataFrame, DataFrame, int]:
+    """A in blocks of documents, a written table of PACKED rows; (term, df, number) of its words, and how many have a number."""
+    n_docs = index.corpus.first().n_docs
+    entries = index.terms.agg(F.sum("df")).first()[0] or 0
+    n_blocks = max(1, math.ceil(entries / block_entries), math.ceil(n_docs / BLOCK_DOCS))
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))
+    postings = index.postings.where("doc_id is not null").select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "term", "tf")
+    words, n_numbers = _numbered_words(postings, index.terms, path)
+    packed = postings.join(words, "term").groupBy("block").applyInArrow(_packer(n_docs, width), PACKED)
+    return write_table(packed, "packed-rows"), words, n_numbers
 
 
 class _Block:
-    """A block's rows of A, unpacked; `shared` are the places of words that other blocks have too."""
-
-    def __init__(self, packed: pd.Series, shared: np.ndarray):
-        starts, norms = np.frombuffer(packed["starts"], dtype=np.int64), np.frombuffer(packed["norms"], dtype=np.float64)
-        self.places = np.cumsum(np.frombuffer(packed["steps"], dtype=np.int32), dtype=np.int64)
-        self.rows = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(self.places))))
-        counts, idfs = np.frombuffer(packed["counts"], dtype=np.int32), np.frombuffer(packed["idfs"], dtype=np.float64)
-        self.weights = counts * idfs[self.places] / norms[self.rows]
-        self.block, self.n_docs, self.n_words = int(packed["block"]), len(starts), len(packed["terms"])
-        self.own = np.ones(self.n_words, dtype=bool)
-        self.own[shared] = False
+    """A block's rows of A, unpacked: word counts, whose weights are put on columns. `shared` are the places of words that
+    other blocks have too, `numbers` theirs, `own` the others'."""
+
+    def __init__(self, packed: dict, n_docs: int):
+        kinds = ("i8", "i4", "i4", "f8", "i8", "i4", "i8")
+        self.starts, steps, counts, self.norms, dfs, numbers, alone = (np.frombuffer(packed[name], dtype=kind) for name, kind in zip(ENTRIES, kinds))
+        self.places, self.counts = np.cumsum(steps, dtype=np.int64), counts.astype(np.float64)
+        self.lengths, self.idfs = np.diff(np.append(self.starts, len(steps))), _idfs(dfs, n_docs)
+        self.shared, self.own = np.flatnonzero(numbers >= 0), np.flatnonzero(numbers < 0)
+        self.numbers = numbers[self.shared]
+        # Entries of words that no other block has: their documents, places and counts.
+        self.alone = np.searchsorted(self.starts, alone, side="right") - 1, self.places[alone], self.counts[alone]
 
     def times(self, right: np.ndarray) -> np.ndarray:
         """A times a column over the block's words."""
-        return np.bincount(self.rows, self.weights * right[self.places], minlength=self.n_docs)
+        return np.add.reduceat(self.counts * (self.idfs * right)[self.places], self.starts) / self.norms
 
     def transposed_times(self, left: np.ndarray) -> np.ndarray:
         """A' times a column over the block's documents."""
-        return np.bincount(self.places, self.weights * left[self.rows], minlength=self.n_words)
-
-    def own_rows(self, found: np.ndarray) -> np.ndarray:
-        """Y of the words that no other block has."""
-        return np.stack([self.transposed_times(column)[self.own] for column in found.T], axis=1)
-
-
-def _vectors(key: str, keys: Iterable, vectors: Iterable) -> pd.DataFrame:
-    """A column of objects also where there are none, as Arrow makes lists of nothing else."""
-    return pd.DataFrame({key: pd.Series(list(keys), dtype=object), "vector": pd.Series(list(vectors), dtype=object)})
-
-
-def _found(state: pd.DataFrame, n_docs: int) -> np.ndarray:
-    return np.frombuffer(state["found"].iloc[0], dtype=np.float64).reshape(n_docs, -1)
-
-
-def _first_documents(blocks: DataFrame, needs: DataFrame, width: int) -> DataFrame:
-    """D = A Q as STATE rows, for Q of random signs by a fixed rule of word and column, so that a rebuilt index has the same vectors."""
-    parts = [range(at, min(at + SIGNS_A_LONG, width + 1)) for at in range(1, width + 1, SIGNS_A_LONG)]
-
-    def bits(columns: range):
-        places = F.array(*[F.lit(i) for i in columns])
-        return F.aggregate(places, F.lit(0).cast("long"), lambda s, i: s * 2 + F.pmod(F.xxhash64("term", i), F.lit(2)))
-
-    wanted = needs.select("block", "at", "shared", F.array(*[bits(part) for part in parts]).alias("signs"))
-
-    def product(packed: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if packed.empty:
-            return pd.DataFrame({"block": [], "found": [], "squares": []}, dtype=object)
-        signs = np.empty((len(right), len(parts)), dtype=np.int64)
-        signs[right["at"].to_numpy()] = np.stack(right["signs"].to_numpy())
-        block = _Block(packed.iloc[0], right["at"].to_numpy()[right["shared"].to_numpy(dtype=bool)])
-        columns = [(signs[:, at] >> (len(part) - 1 - k) & 1) * 2.0 - 1.0 for at, part in enumerate(parts) for k in range(len(part))]
-        return _state(block, np.stack([block.times(column) for column in columns], axis=1))
-
-    return write_table(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(product, STATE), "documents")
-
-
-def _state(block: _Block, found: np.ndarray) -> pd.DataFrame:
-    own = block.own_rows(found)
-    return pd.DataFrame({"block": [block.block], "found": [np.ascontiguousarray(found).tobytes()], "squares": [(own.T @ own).tobytes()]})
-
-
-def _shared_places(needs: DataFrame) -> DataFrame:
-    return needs.where("shared").select("block", "at", "term")
-
-
-def _shared_words(blocks: DataFrame, needs: DataFrame, state: DataFrame, width: int) -> DataFrame:
-    """(term, vector), a written table: Y = A'D of the words of several blocks."""
-    places = _shared_places(needs)
-    right = state.select("block", "found", F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("term"))
-    right = right.unionByName(places.withColumn("found", F.lit(None).cast("binary")))
-
-    def product(packed: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        held = right[right["found"].isna()]
-        if packed.empty or held.empty:
-            return _vectors("term", [], [])
-        at = held["at"].to_numpy(dtype=np.int64)
-        block = _Block(packed.iloc[0], at)
-        found = _found(right[right["found"].notna()], block.n_docs)
-        sums = np.stack([block.transposed_times(column)[at] for column in found.T], axis=1)
-        return _vectors("term", held["term"], sums)
-
-    parts = blocks.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(product, "term string, vector array<double>")
-    sums = [F.sum(F.col("vector")[i]) for i in range(width)]
-    return write_table(parts.groupBy("term").agg(F.array(*sums).alias("vector")), "word-vectors")
-
-
-def _documents(blocks: DataFrame, needs: DataFrame, state: DataFrame, words: DataFrame, turn: np.ndarray) -> DataFrame:
-    """D = A Y turn as STATE rows; Y of words of several blocks is `words`, that of others is made of the last D."""
-    places = _shared_places(needs)
-    right = state.select("block", "found", F.lit(None).cast("int").alias("at"), F.lit(None).cast("array<double>").alias("vector"))
-    right = right.unionByName(places.join(words, "term").select("block", F.lit(None).cast("binary").alias("found"), "at", "vector"))
+        entries = np.repeat(left / self.norms, self.lengths)
+        entries *= self.counts
+        return self.idfs * np.bincount(self.places, entries, minlength=len(self.idfs))
+
+    def own_sums(self, left: np.ndarray) -> np.ndarray:
+        """A' times a column for the words that no other block has; other places hold zeros."""
+        rows, places, counts = self.alone
+        return self.idfs * np.bincount(places, counts * (left / self.norms)[rows], minlength=len(self.idfs))
+
+
+def _lists(vectors: np.ndarray) -> pa.Array:
+    rows, width = vectors.shape
+    return pa.ListArray.from_arrays(np.arange(0, rows * width + 1, width, dtype=np.int32) if width else np.zeros(rows + 1, dtype=np.int32), np.ascontiguousarray(vectors).ravel())
+
+
+def _given(key: str, keys: pa.Array, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for start in range(0, len(keys), GIVEN):
+        yield pa.RecordBatch.from_arrays([keys[start : start + GIVEN], _lists(vectors[start : start + GIVEN])], [key, "vector"])
+
+
+def _taken(packed: pa.RecordBatch, names: tuple[str, ...], row: int) -> dict:
+    return {name: packed[name][row].as_buffer() for name in names}
+
+
+def _unpacked_rows(found: object, columns: int) -> np.ndarray:
+    return np.frombuffer(found, dtype=np.float64).reshape(-1, columns)
+
+
+def _by_columns(blocks: DataFrame, tables: Callable[[int], list[DataFrame]], chunks: list[range], task: Callable, schema: str) -> DataFrame:
+    """A task for each chunk of columns, which reads the rows of `tables` one table after the other; only what it gives moves."""
+    each = []
+    for number, chunk in enumerate(chunks):
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables(number))
+        each.append(rows.coalesce(1).mapInArrow(task(number, chunk), schema))
+    # Single partitions alone would be united in one; a scan without rows keeps them apart.
+    none = blocks.where("block < 0").mapInArrow(lambda batches: iter(()), schema)
+    return reduce(DataFrame.union, each, none)
+
+
+def _shared_words(blocks: DataFrame, words: DataFrame, state: DataFrame, turn: np.ndarray, chunks: list[range], n_blocks: int, n_numbers: int, n_docs: int) -> DataFrame:
+    """(term, number, chunk, vector), a written table: those columns of Y = A'D of the words of several blocks, for D = `state` turned."""
+    wanted = words.where("number >= 0").select("term", "number")
+
+    def task(number: int, chunk: range) -> Callable:
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = turn[:, chunk.start : chunk.stop]
+            out, left, early, done = np.zeros((len(chunk), n_numbers)), {}, [], 0
+
+            def given(batch: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+                batch = batch.take(pa.array(at))
+                vectors = _lists(out[:, batch["number"].to_numpy()].T)
+                return pa.RecordBatch.from_arrays([batch["term"], batch["number"], pa.array(np.full(len(at), number)), vectors], ["term", "number", "chunk", "vector"])
+
+            # The scans are read in this order; rows that a scheduler brings earlier wait.
+            waiting: dict[int, dict] = {}
+            for batch in batches:
+                ids = batch["block"].to_pylist()
+                for row in np.flatnonzero(batch["found"].is_valid().to_numpy(zero_copy_only=False)):
+                    left[ids[row]] = _unpacked_rows(batch["found"][row].as_buffer(), len(turn)) @ part
+                for row in np.flatnonzero(batch["steps"].is_valid().to_numpy(zero_copy_only=False)):
+                    waiting[ids[row]] = _taken(batch, ENTRIES, row)
+                for block in [b for b in waiting if b in left]:
+                    entries, columns = _Block(waiting.pop(block), n_docs), left.pop(block)
+                    done += 1
+                    for k in range(len(chunk)):
+                        out[k][entries.numbers] += entries.transposed_times(columns[:, k])[entries.shared]
+                at = np.flatnonzero(batch["term"].is_valid().to_numpy(zero_copy_only=False))
+                if len(at) and done < n_blocks:
+                    early.append((batch, at))
+                elif len(at):
+                    yield given(batch, at)
+            for batch, at in early:
+                yield given(batch, at)
+
+        return sums
+
+    tables = [state.select("block", "found"), blocks.select("block", *ENTRIES), wanted]
+    made = _by_columns(blocks, lambda _: tables, chunks, task, "term string, number long, chunk long, vector array<double>")
+    return write_table(made, "word-vectors")
+
+
+def _documents(blocks: DataFrame, words: DataFrame, state: DataFrame, turn: np.ndarray, chunks: list[range], n_numbers: int, n_docs: int) -> DataFrame:
+    """A Y as STATE rows; Y of words of several blocks is `words`, that of others is made of D = `state` turned."""
+    held = [words.where(F.col("chunk") == number).select("number", "vector") for number in range(len(chunks))]
+
+    def task(number: int, chunk: range) -> Callable:
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, width = turn[:, chunk.start : chunk.stop], len(chunk)
+            sums, known, left, waiting = np.zeros((width, n_numbers)), 0, {}, {}
+            for batch in batches:
+                ids = batch["block"].to_pylist()
+                for row in np.flatnonzero(batch["found"].is_valid().to_numpy(zero_copy_only=False)):
+                    left[ids[row]] = _unpacked_rows(batch["found"][row].as_buffer(), len(turn)) @ part
+                at = np.flatnonzero(batch["number"].is_valid().to_numpy(zero_copy_only=False))
+                if len(at):
+                    some = batch.take(pa.array(at))
+                    sums[:, some["number"].to_numpy()] = some["vector"].flatten().to_numpy().reshape(-1, width).T
+                    known += len(at)
+                for row in np.flatnonzero(batch["steps"].is_valid().to_numpy(zero_copy_only=False)):
+                    waiting[ids[row]] = _taken(batch, ENTRIES, row)
+                for block in [b for b in waiting if b in left and known == n_numbers]:
+                    entries, last = _Block(waiting.pop(block), n_docs), left.pop(block)
+                    found = np.empty(last.shape)
+                    for k in range(width):
+                        right = entries.own_sums(last[:, k])
+                        right[entries.shared] = sums[k][entries.numbers]
+                        found[:, k] = entries.times(right)
+                    columns = [[block], [number], [found.tobytes()], [np.ascontiguousarray(last).tobytes()]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "chunk", "found", "last"])
+
+        return products
+
+    def together(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk")
+        found, last = (np.concatenate([_unpacked_rows(x, len(chunks[at])) for at, x in zip(rows["chunk"], rows[name])], axis=1) for name in ("found", "last"))
+        out = {"found": found, "squares": last.T @ found, "lengths": found.T @ found}
+        return pd.DataFrame({"block": [rows["block"].iloc[0]]} | {name: [np.ascontiguousarray(x).tobytes()] for name, x in out.items()})
+
+    def tables(number: int) -> list[DataFrame]:
+        return [state.select("block", "found"), held[number], blocks.select("block", *ENTRIES)]
+
+    made = _by_columns(blocks, tables, chunks, task, "block long, chunk long, found binary, last binary")
+    return write_table(made.groupBy("block").applyInPandas(together, STATE), "documents")
+
+
+def _document_vectors(blocks: DataFrame, state: DataFrame, turn: np.ndarray) -> DataFrame:
+    """(doc_id, vector): the rows of `state` times `turn`."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                docs = pa.array(np.frombuffer(batch["docs"][row].as_buffer(), dtype=np.int64))
+                yield from _given("doc_id", docs, _unpacked_rows(batch["found"][row].as_buffer(), len(turn)) @ turn)
 
-    def product(packed: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if packed.empty:
-            return pd.DataFrame({"block": [], "found": [], "squares": []}, dtype=object)
-        held = right[right["found"].isna()]
-        at = held["at"].to_numpy(dtype=np.int64)
-        block = _Block(packed.iloc[0], at)
-        last = _found(right[right["found"].notna()], block.n_docs)
-        vectors = np.stack(held["vector"].to_numpy()) if len(held) else np.empty((0, last.shape[1]))
-        out = np.empty((block.n_docs, turn.shape[0]))
-        for column in range(turn.shape[0]):
-            sums = block.transposed_times(last[:, column])
-            sums[at] = vectors[:, column]
-            out[:, column] = block.times(sums)
-        return _state(block, out @ turn)
+    return blocks.select("block", "docs").join(state.select("block", "found"), "block").mapInArrow(rows, "doc_id long, vector array<double>")
 
-    return write_table(blocks.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(product, STATE), "documents")
 
+def _own_words(blocks: DataFrame, state: DataFrame, turn: np.ndarray, n_docs: int) -> DataFrame:
+    """(term, vector): A' times the rows of `state` times `turn`, for the words that no other block has."""
 
-def _unpacked(blocks: DataFrame, needs: DataFrame, state: DataFrame, turn: np.ndarray, *, words: bool) -> DataFrame:
-    """(key, vector): the rows of D times `turn`, or with `words` those of Y of the words that no other block has."""
-    right = state.select("block", "found", F.lit(None).cast("int").alias("at"))
-    if words:
-        right = right.unionByName(needs.where("shared").select("block", F.lit(None).cast("binary").alias("found"), "at"))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                block = _Block(_taken(batch, ENTRIES, row), n_docs)
+                last = _unpacked_rows(batch["found"][row].as_buffer(), len(turn)) @ turn
+                terms = batch["terms"][row].values.take(pa.array(block.own))
+                sums = np.empty((len(block.own), turn.shape[1]))
+                for k in range(turn.shape[1]):
+                    sums[:, k] = block.own_sums(last[:, k])[block.own]
+                yield from _given("term", terms, sums)
 
-    def rows(packed: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if packed.empty:
-            return _vectors("key", [], [])
-        packed, keys = packed.iloc[0], np.frombuffer(packed["docs"].iloc[0], dtype=np.int64)
-        found = _found(right[right["found"].notna()], len(keys))
-        if words:
-            block = _Block(packed, right["at"][right["found"].isna()].to_numpy(dtype=np.int64))
-            keys, found = np.asarray(packed["terms"], dtype=object)[block.own], block.own_rows(found)
-        return _vectors("key", keys, found @ turn)
+    return blocks.select("block", *ENTRIES, "terms").join(state.select("block", "found"), "block").mapInArrow(rows, "term string, vector array<double>")
 
-    key = "string" if words else "long"
-    columns = blocks if words else blocks.select("block", "docs")
-    return columns.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(rows, f"key {key}, vector array<double>")
 
-
-def _squares(state: DataFrame, width: int) -> np.ndarray:
-    """The sum of the blocks' own squares, a row a number, as `gram`."""
+def _summed(state: DataFrame, name: str, width: int) -> np.ndarray:
+    """The sum of the blocks' matrices; zeros where there are none."""
 
     def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for squares in batches:
             yield pd.Series([np.frombuffer(s, dtype=np.float64) for s in squares], dtype=object)
 
-    each = state.select(F.posexplode(F.pandas_udf(numbers, "array<double>")("squares")).alias("at", "value"))
-    return _square(each.groupBy("at").agg(F.sum("value").alias("value")), width)
-
-
-def _square(sums: DataFrame, width: int) -> np.ndarray:
-    """The (width, width) numbers of (at, value); zeros where there are none."""
+    each = state.select(F.posexplode(F.pandas_udf(numbers, "array<double>")(name)).alias("at", "value"))
     out = np.zeros(width * width)
-    for r in sums.collect():
+    for r in each.groupBy("at").agg(F.sum("value").alias("value")).collect():
         out[r["at"]] = r["value"]
     return out.reshape(width, width)
 
 
-def gram(rows: DataFrame, width: int) -> np.ndarray:
-    """V'V of the (vector) rows of `width` numbers, summed in the tasks; width squared numbers are collected."""
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, width))
-        for batch in batches:
-            if len(batch):
-                vectors = np.stack(batch["vector"].to_numpy())
-                total += vectors.T @ vectors
-        yield pd.DataFrame({"at": np.arange(width * width), "value": total.ravel()})
-
-    sums = rows.select("vector").mapInPandas(partial, "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
-    return _square(sums, width)
-
-
 def _directions(squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues above TINY and their vectors, largest first; of either sign the one whose largest number is positive."""
-    values, vectors = np.linalg.eigh(squares)
-    kept = np.flatnonzero(values > TINY * max(values[-1], 1e-300))[::-1]
+    values, vectors = np.linalg.eigh((squares + squares.T) / 2)
+    kept = np.flatnonzero(values > TINY * max(values[-1], 1e-300))[::-1] if len(values) else []
     values, vectors = values[kept], vectors[:, kept]
     signs = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(kept))]) if len(kept) else np.ones(0)
     return values, vectors * signs
@@ -268,28 +354,35 @@ def _turned(rows: DataFrame, key: str, turn: np.ndarray) -> DataFrame:
     return rows.select(key, F.pandas_udf(turned, "array<double>")("vector").alias("vector"))
 
 
+def _chunks(width: int, numbers: int, tasks: int) -> list[range]:
+    """The columns of each task: one for every core, or as few as COLUMN_BYTES hold."""
+    size = max(1, min(math.ceil(width / tasks), COLUMN_BYTES // (8 * max(1, numbers))))
+    return [range(at, min(at + size, width)) for at in range(0, width, size)]
+
+
 def build_latent(index: Index, path: str, *, dims: int = DIMS, passes: int = PASSES, block_entries: int = BLOCK_ENTRIES) -> np.ndarray:
     """Write the vectors of an index's words and documents under `path`; the singular values, largest first."""
     if dims < 1 or passes < 1:
         raise ValueError("dims and passes must be positive")
-    blocks = packed_rows(index, block_entries)
-    places = write_table(blocks.select("block", F.posexplode("terms").alias("at", "term")), "block-words")
-    # A word of several blocks has a row for each of them.
-    several = places.groupBy("term").agg(F.count(F.lit(1)).alias("n")).select("term", (F.col("n") > 1).alias("shared"))
-    needs = write_table(places.join(several, "term"), "block-words")
-    width = dims + EXTRA
-    state = _first_documents(blocks, needs, width)
+    width, n_docs = dims + EXTRA, index.corpus.first().n_docs
+    blocks, numbered, n_numbers = packed_rows(index, path, width, block_entries)
+    n_blocks, tasks = blocks.count(), blocks.sparkSession.sparkContext.defaultParallelism
+    state, turn = blocks.select("block", "found"), np.eye(width)
     for _ in range(passes):
-        words = _shared_words(blocks, needs, state, width)
-        values, vectors = _directions(gram(words, width) + _squares(state, width))
+        chunks = _chunks(width, n_numbers + n_docs, tasks)
+        words = _shared_words(blocks, numbered, state, turn, chunks, n_blocks, n_numbers, n_docs)
+        last, before = state, turn
+        state = _documents(blocks, words, last, before, chunks, n_numbers, n_docs)
+        values, vectors = _directions(_summed(state, "squares", width))
         turn = vectors / np.sqrt(values)
-        last, state, width = state, _documents(blocks, needs, state, words, turn), turn.shape[1]
-    docs = write_table(_unpacked(blocks, needs, state, np.eye(width), words=False), "doc-vectors")
-    squares, rotation = _directions(gram(docs, width))
-    squares, rotation = squares[:dims], rotation[:, :dims]
-    shared = _turned(words, "term", turn @ rotation)
-    shared.unionByName(_unpacked(blocks, needs, last, turn @ rotation, words=True).withColumnRenamed("key", "term")).write.parquet(f"{path}/words")
-    _turned(docs.withColumnRenamed("key", "doc_id"), "doc_id", rotation).write.parquet(f"{path}/docs")
+        lengths, width = turn.T @ _summed(state, "lengths", width) @ turn, turn.shape[1]
+    squares, rotation = _directions(lengths)
+    turn, squares = turn @ rotation[:, :dims], squares[:dims]
+    ordered = F.sort_array(F.collect_list(F.struct("chunk", "vector")))
+    shared = words.groupBy("term").agg(F.flatten(F.transform(ordered, lambda x: x["vector"])).alias("vector"))
+    own = _own_words(blocks, last, before @ turn, n_docs)
+    _turned(shared, "term", turn).unionByName(own).write.parquet(f"{path}/words")
+    _document_vectors(blocks, state, turn).write.parquet(f"{path}/docs")
     return np.sqrt(squares)
 
 

@@ -113,3 +113,19 @@ def test_registered_queries(spark, folder):
     assert all(0 < r.length <= 1 + 1e-9 for r in vectors)
     found = retrieval.latent_recall(spark, folder).first()
     assert found.n_questions == 40 and found.n_found == round(found.recall * 40)
+
+
+def test_memory_of_a_block_does_not_follow_its_longest_word(spark):
+    """60,000 entries as wide as this word would be 48 GB."""
+    rows = [(i, "a", " ".join(f"w{(i * 1009 + j) % 7001}" for j in range(2000))) for i in range(30)]
+    idx = indexed(spark, spark.createDataFrame([*rows, (30, "b", "w1 " + "x" * 200_000)], DOCS))
+    values, got = built(spark, idx, dims=2, passes=1)
+    assert len(values) == 2 and got.docs.count() == 31 and got.words.count() == idx.terms.count()
+
+
+def test_first_signs_are_those_of_xxhash64(spark):
+    words = ["a", "word", "x_1", "0" * 50]
+    rows = spark.createDataFrame([(w,) for w in words], "term string")
+    wanted = rows.select("term", *[F.pmod(F.xxhash64("term", F.lit(i)), F.lit(2)).alias(f"c{i}") for i in range(1, 8)]).collect()
+    found = np.stack(list(latent._signs([w.encode() for w in words], 7)), axis=1)
+    assert {r[0]: [2.0 * x - 1 for x in r[1:]] for r in wanted} == dict(zip(words, found.tolist()))
