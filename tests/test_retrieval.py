@@ -303,3 +303,21 @@ def test_written_postings_move_once_and_have_the_norms_of_the_plan(spark, folder
                 assert (row.bucket, row.tf, row.dl) == (other.bucket, other.tf, other.dl) and abs(row.norm - other.norm) < 1e-9
         else:
             assert len(built) == index.counted_words(some).where("term is not null").count()
+
+
+def test_what_blocks_give_does_not_grow_with_them(spark, folder, monkeypatch):
+    """Postings are packed once for all parts of the questions, and a task gives the best of all its blocks."""
+    t = Tables(spark, folder)
+    path = new_folder(spark, "index")
+    index.build_index(named_documents(t.documents), path)
+    idx, questions = index.read_index(spark, path), benchmark_questions(t.benchmark)
+    monkeypatch.setattr(search, "BLOCK_POSTINGS", 300)
+    monkeypatch.setattr(search, "PART_WORDS", 400)
+    moved, real = [], search.write_table
+    monkeypatch.setattr(search, "write_table", lambda rows, name: moved.append(name) or real(rows, name))
+    given, scores = [], search._scores_in_blocks
+    monkeypatch.setattr(search, "_scores_in_blocks", lambda *a: given.append(real(scores(*a), "given")) or given[-1])
+    for topk in (search.bm25_topk, search.tfidf_topk):
+        assert sorted(map(str, topk(questions, idx, 3).collect())) == sorted(map(str, topk(questions, idx, 3, pair_budget=0).collect()))
+    assert moved.count("posting-blocks") == 2
+    assert len(given) == 2 and all(rows.count() <= 3 * questions.count() for rows in given)
