@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import token_overlap, tokens
@@ -321,3 +323,14 @@ def test_what_blocks_give_does_not_grow_with_them(spark, folder, monkeypatch):
         assert sorted(map(str, topk(questions, idx, 3).collect())) == sorted(map(str, topk(questions, idx, 3, pair_budget=0).collect()))
     assert moved.count("posting-blocks") == 2
     assert len(given) == 2 and all(rows.count() <= 3 * questions.count() for rows in given)
+
+
+def test_repeated_ids_add_up_beyond_the_known_impact():
+    """Word 2 may be set aside for documents of one row each; the second block's document has three rows of it."""
+    asked = search._Asked(pd.DataFrame({"q_id": [1, 1], "number": [1, 2], "weight": [1.0, 1.0], "max_impact": [5.0, 2.0]}))
+    best = search._Best(asked, 1)
+    for docs, numbers, impacts in (([10, 10], [1, 2], [5.0, 0.5]), ([20, 20, 20], [2, 2, 2], [2.0, 2.0, 2.0])):
+        met = pa.table({"block": pa.array([0] * len(docs), pa.int32()), "doc_id": docs, "number": numbers, "impact": impacts})
+        packed = search._pack(met)
+        best.add({name: packed[name].combine_chunks()[0].as_buffer() for name in packed.column_names[1:]})
+    assert best.found[0][0].tolist() == [20] and best.found[0][1].tolist() == [6.0]
